@@ -137,21 +137,17 @@ def add_groups(df: DataFrame, rules: Rule | Sequence[Rule], *, order_by, partiti
 def hierarchy(df, block: Rule, group: Rule, *, order_by, sequence="sequence") -> DataFrame:
     """Block id, group id restarting in every block, and the row's place in its group.
 
-    Blocks and groups come from one pass: a group also ends where its block ends, and its number
-    inside the block is the distance to the block's first group.
+    One ordered pass: a group also ends where its block ends, so groups get numbers that run through;
+    the number of a block's first group (one row per block) is then subtracted.
     """
-    if block.kind == "value_equals" or group.kind not in ("value_change", "composite"):
+    if block.kind not in ("value_change", "composite", "is_empty") or group.kind not in ("value_change", "composite"):
         raise ValueError("blocks need a rule that covers every row, and groups a value change")
     columns = [group.column] if isinstance(group.column, str) else list(group.column)
-    runs, number, _ = _feature(df, block)
-    blocked = OrderedScan(df, order_by).add({block.out: runs}, {block.out: number})
-    blocked = materialize(blocked)
-    inner = Runs(F.struct(block.out, *columns), lambda p, c: ~p.eqNullSafe(c))
-    scan = OrderedScan(blocked, order_by)
-    numbered = materialize(
-        scan.add({"__g": inner}, {"__g": lambda r: r["__g"], sequence: lambda r: r["__g.position"]})
-    )
-    # Blocks are many but each is one row here; the join key is spread over the blocks, AQE splits hot ones.
+    outer, number, _ = _feature(df, block)
+    state = F.struct(outer.state.alias("b"), F.struct(*columns).alias("g"))
+    inner = Runs(state, lambda p, c: outer.starts(p["b"], c["b"]) | ~p["g"].eqNullSafe(c["g"]))
+    derive = {block.out: number, "__g": lambda r: r["__g"], sequence: lambda r: r["__g.position"]}
+    numbered = materialize(OrderedScan(df, order_by).add({block.out: outer, "__g": inner}, derive))
     first = numbered.groupBy(block.out).agg(F.min("__g").alias("__first"))
     return (
         numbered.join(first, block.out)

@@ -1,0 +1,4 @@
+from colforge.queries import ordered_ops  # noqa: F401
+from colforge.queries.base import QUERIES
+
+__all__ = ["QUERIES"]
