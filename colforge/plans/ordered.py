@@ -289,18 +289,10 @@ class OrderedScan:
         names = keys.columns
         # The sample holds about SAMPLE_PER_BUCKET rows per bucket, so one task can number it.
         w = Window.orderBy(*names)
-        numbered = keys.withColumn("n", F.row_number().over(w)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
-        slot = F.floor((F.col("n") - 1) * F.lit(buckets) / F.col("total"))
-        picked = (
-            numbered.withColumn("slot", slot)
-            .withColumn("before", F.lag("slot").over(w))
-            .filter(F.col("slot") != F.col("before"))
-            .select(*names)
-            .distinct()
-            .orderBy(*names)
-        )
+        numbered = keys.withColumn("slot", F.ntile(buckets).over(w)).withColumn("before", F.lag("slot").over(w))
+        picked = numbered.filter(F.col("slot") != F.col("before")).select(*names)
         self._key_types = [f.dataType.simpleString() for f in keys.schema.fields]
-        return [tuple(r) for r in picked.collect()]
+        return list(dict.fromkeys(tuple(r) for r in picked.collect()))
 
     def carried(self, name: str) -> Column:
         """A column that came from earlier buckets; there are none in a plain scan."""
