@@ -1,4 +1,4 @@
-from colforge.queries import check_ops, duplicate_ops, ordered_ops  # noqa: F401
+from colforge.queries import check_ops, duplicate_ops, ordered_ops, sql_ops  # noqa: F401
 from colforge.queries.base import QUERIES
 
 __all__ = ["QUERIES"]

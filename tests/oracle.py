@@ -50,11 +50,17 @@ def rows(frame: pd.DataFrame):
 def compare(spark, con, name, sf_dir):
     """None when equal, else what differs."""
     fn, sql = spark_entry.queries()[name], spark_entry.oracle_sql().get(name)
-    got = fn(spark, sf_dir).toArrow().to_pandas(integer_object_nulls=True)
+    got_arrow = fn(spark, sf_dir).toArrow()
+    got = got_arrow.to_pandas(integer_object_nulls=True)
     if sql is None:
         return None if len(got) else "no rows"
     want = con.sql(sql).arrow()
-    want = (want.read_all() if hasattr(want, "read_all") else want).to_pandas(integer_object_nulls=True)
+    want_arrow = want.read_all() if hasattr(want, "read_all") else want
+    want = want_arrow.to_pandas(integer_object_nulls=True)
+    kinds = [{f.name: str(f.type).replace("large_", "") for f in t.schema} for t in (got_arrow, want_arrow)]
+    differ = {k: (v, kinds[1].get(k)) for k, v in kinds[0].items() if v != kinds[1].get(k)}
+    if differ:
+        print("    types:", differ)
     a, b = rows(got), rows(want)
     if a[0] != b[0]:
         return f"columns {a[0]} against {b[0]}"
