@@ -15,10 +15,11 @@ DATETIME_FORMATS = ("yyyy/M/d H:m:s", "d/M/yyyy H:m:s", "M/d/yyyy H:m:s", "yyyy-
 # First instants after the accepted epoch range (the year 2100), per unit.
 EPOCH_LIMITS = {"s": 4_102_444_800, "ms": 4_102_444_800_000, "us": 4_102_444_800_000_000, "ns": 4_102_444_800_000_000_000}
 
-_ISO = r"^(\d{4}-\d{1,2}-\d{1,2})[T ](\d{1,2}:\d{1,2}:\d{1,2})(?:\.(\d{1,9}))?$"
-_ZONED = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
-_OTHER = r"^\d{1,4}[/-]\d{1,2}[/-]\d{1,4} \d{1,2}:\d{1,2}(:\d{1,2})?$"
-_CLOCK = r"^(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d+))?)?$"
+ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,9})?$"
+ZONED_SHAPE = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+OTHER_SHAPE = r"^\d{1,4}[/-]\d{1,2}[/-]\d{1,4} \d{1,2}:\d{1,2}(:\d{1,2})?$"
+DATE_SHAPE = r"^\d{1,4}[/-]\d{1,2}[/-]\d{1,4}$"
+CLOCK_SHAPE = r"^(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d+))?)?$"
 
 
 def _int(c: Column) -> Column:
@@ -30,11 +31,11 @@ def micros_of_day(value: Column, allow_hm: bool = False) -> Column:
 
     The fraction is scaled by its digit count; digits past the sixth are cut.
     """
-    part = lambda i: F.regexp_extract(value, _CLOCK, i)
+    part = lambda i: F.regexp_extract(value, CLOCK_SHAPE, i)
     hour, minute = _int(part(1)), _int(part(2))
     second = F.when(part(3) == "", F.lit(0)).otherwise(_int(part(3)))
     fraction = F.rpad(F.substring(part(4), 1, 6), 6, "0").try_cast("long")
-    ok = value.rlike(_CLOCK) & (hour < 24) & (minute < 60) & (second < 60)
+    ok = value.rlike(CLOCK_SHAPE) & (hour < 24) & (minute < 60) & (second < 60)
     if not allow_hm:
         ok = ok & (part(3) != "")
     total = (hour * 3600 + minute * 60 + second).cast("long") * 1_000_000
@@ -54,31 +55,21 @@ def clock_text(micros: Column, digits: int = 0) -> Column:
 
 def parse_datetime(value: Column) -> Column:
     """The accepted datetime spellings to TIMESTAMP_NTZ, else NULL. Uses the real calendar."""
-    iso = F.when(
-        value.rlike(_ISO),
-        F.concat_ws(
-            " ",
-            F.regexp_extract(value, _ISO, 1),
-            F.concat(F.regexp_extract(value, _ISO, 2), F.lit("."), F.rpad(F.regexp_extract(value, _ISO, 3), 6, "0")),
-        ),
+    # One look at the shape decides which parser runs at all.
+    return F.when(value.rlike(ISO_SHAPE), value.try_cast("timestamp_ntz")).when(
+        value.rlike(OTHER_SHAPE), F.coalesce(*[_try_ntz(value, f) for f in DATETIME_FORMATS])
     )
-    tries = [_try_ntz(iso, "yyyy-M-d H:m:s.SSSSSS")]
-    guarded = F.when(value.rlike(_OTHER), value)
-    for fmt in DATETIME_FORMATS:
-        tries.append(_try_ntz(guarded, fmt))
-    return F.coalesce(*tries)
 
 
 def parse_instant(value: Column) -> Column:
     """Like `parse_datetime`, and also an ISO text with a zone, moved to UTC."""
-    zoned = F.when(value.rlike(_ZONED), value).try_cast("timestamp")
-    return F.coalesce(parse_datetime(value), F.to_utc_timestamp(zoned, F.current_timezone()).cast("timestamp_ntz"))
+    zoned = F.to_utc_timestamp(value.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
+    return F.when(value.rlike(ZONED_SHAPE), zoned).otherwise(parse_datetime(value))
 
 
 def parse_date(value: Column) -> Column:
-    guarded = F.when(value.rlike(r"^\d{1,4}[/-]\d{1,2}[/-]\d{1,4}$"), value)
-    tries = [_try_ntz(guarded, f).cast("date") for f in DATE_FORMATS]
-    return F.coalesce(*tries)
+    tries = [_try_ntz(value, f).cast("date") for f in DATE_FORMATS]
+    return F.when(value.rlike(DATE_SHAPE), F.coalesce(*tries))
 
 
 def _try_ntz(value: Column, fmt: str) -> Column:
@@ -133,7 +124,7 @@ def boundary_seconds(text: str | int) -> int:
 
 
 def fraction_digits(value: Column) -> Column:
-    return F.length(F.regexp_extract(value, _CLOCK, 4))
+    return F.length(F.regexp_extract(value, CLOCK_SHAPE, 4))
 
 
 def pad_fraction(value: Column, digits: int) -> Column:
@@ -143,5 +134,5 @@ def pad_fraction(value: Column, digits: int) -> Column:
     head = F.regexp_extract(value, r"^([^.]*)", 1)
     return F.when(
         micros_of_day(value).isNotNull(),
-        F.concat(head, F.lit("."), F.rpad(F.regexp_extract(value, _CLOCK, 4), digits, "0")),
+        F.concat(head, F.lit("."), F.rpad(F.regexp_extract(value, CLOCK_SHAPE, 4), digits, "0")),
     ).otherwise(value)
