@@ -118,7 +118,8 @@ def _after_header(lines: DataFrame, head: list, header_row: int) -> DataFrame:
     return joined.filter((F.col("__block") > 0) | (F.col("__line") > F.col("__cut"))).drop("__cut")
 
 
-def _parsed(lines: DataFrame, n: int, delimiter: str, quotes: bool) -> DataFrame:
+def _fields(n: int, delimiter: str, quotes: bool) -> Column:
+    """A line as a struct of n texts; `bad` is set when the field count is another."""
     schema = ", ".join([*(f"c{i} string" for i in range(n)), "bad string"])
     options = {
         "sep": delimiter,
@@ -131,16 +132,26 @@ def _parsed(lines: DataFrame, n: int, delimiter: str, quotes: bool) -> DataFrame
         "nullValue": "\0",
         "maxCharsPerColumn": "-1",
     }
-    return lines.withColumn("p", F.from_csv("value", schema, options))
+    return F.from_csv("value", schema, options)
 
 
-def _reason(comment: str) -> Column:
+def _skipped(comment: str) -> Column:
+    """Why a line is no data line at all, else NULL."""
     value = F.trim("value")
-    return (
-        F.when(value == "", F.lit("blank"))
-        .when(value.startswith(comment) if comment else F.lit(False), F.lit("comment"))
-        .when(F.col("p.bad").isNotNull(), F.lit("field count"))
-    )
+    blank = F.when(value == "", F.lit("blank"))
+    return blank.when(value.startswith(comment), F.lit("comment")) if comment else blank
+
+
+def _good_fields(lines: DataFrame, n: int, o: CsvOptions, delimiter: str) -> DataFrame:
+    """Place and fields of the data lines. `inline` over none or one struct parses every line once."""
+    parsed = F.filter(F.array(_fields(n, delimiter, o.quotes)), lambda p: p["bad"].isNull())
+    return lines.filter(_skipped(o.comment).isNull()).select(*LINE, F.inline(parsed)).drop("bad")
+
+
+def _rejects(lines: DataFrame, n: int, o: CsvOptions, delimiter: str) -> DataFrame:
+    wrong = F.when(_fields(n, delimiter, o.quotes)["bad"].isNotNull(), F.lit("field count"))
+    reasons = lines.withColumn("reason", F.coalesce(_skipped(o.comment), wrong))
+    return reasons.filter("reason IS NOT NULL").select(*LINE, "reason", "value")
 
 
 def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None) -> CsvTable:
@@ -165,9 +176,9 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
     lines = read_lines(spark, path)
     if header_row >= 0:
         lines = _after_header(lines, head, header_row)
-    checked = _parsed(lines, len(names), delimiter, o.quotes).withColumn("reason", _reason(o.comment))
-    rejects = checked.filter("reason IS NOT NULL").select(*LINE, "reason", "value")
-    cells = checked.filter("reason IS NULL").select(*LINE, *[blank_nulls(F.col(f"p.c{i}"), o.null_tokens).alias(f"c{i}") for i in range(len(names))])
+    rejects = _rejects(lines, len(names), o, delimiter)
+    fields = _good_fields(lines, len(names), o, delimiter)
+    cells = fields.select(*LINE, *[blank_nulls(F.col(f"c{i}"), o.null_tokens).alias(f"c{i}") for i in range(len(names))])
 
     wanted = [i for i, n in enumerate(names) if o.columns is None or n in o.columns]
     types = {names[i]: ColumnType(o.types[names[i]]) for i in wanted if names[i] in o.types}
@@ -203,7 +214,7 @@ def check_field_count(spark: SparkSession, path: str, expected: int, options: Cs
     lines = read_lines(spark, path)
     if header_row >= 0:
         lines = _after_header(lines, head, header_row)
-    bad = _parsed(lines, expected, delimiter, o.quotes).withColumn("reason", _reason(o.comment)).filter("reason = 'field count'")
+    bad = _rejects(lines, expected, o, delimiter).filter("reason = 'field count'")
     facts = bad.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*LINE, "value")).alias("first")).first()
     if facts["n"]:
         raise ValueError(f"{facts['n']} lines do not have {expected} fields, first: {facts['first']['value'][:200]!r}")
