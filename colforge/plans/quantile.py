@@ -1,118 +1,116 @@
 """Exact medians without sorting or shuffling the table.
 
-An approximate percentile gives a narrow band, exact counts prove that the wanted ranks lie in it, and
-the band shrinks until its distinct values fit a small answer. Every round is one aggregate.
+An approximate percentile gives a narrow band, exact counts prove that the wanted rank lies in it, and
+the band shrinks until its distinct values fit a small answer. Every round is one aggregate for all columns.
 """
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BAND_VALUES = 10_000
 SMALL_TABLE = 2_000_000
 ACCURACY = 10_000
+SLACK = 10 / ACCURACY
 
 
 @dataclass
-class _Band:
-    low: float
-    high: float
+class _Target:
+    """One rank (from 0) of one column. It lies between `least` and `most`; `low` to `high` is looked at next."""
+
+    column: str
+    rank: int
     least: float
     most: float
-    ranks: tuple[int, int]
+    low: float
+    high: float
+
+    def band(self) -> Column:
+        return F.col(self.column).between(self.low, self.high)
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str], small: int = SMALL_TABLE, band_values: int = BAND_VALUES) -> dict[str, float | None]:
-    """The median (mean of the two middle values) of each numeric column; NULL cells are left out."""
-    values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    names = values.columns
+    """The median (mean of the two middle values) of each numeric column; NULL and NaN cells are left out."""
+    names = [f"c{i}" for i in range(len(columns))]
+    typed = [F.col(c).cast("double") for c in columns]
+    values = df.select(*[F.when(~F.isnan(c), c).alias(n) for n, c in zip(names, typed)])
     counts = values.agg(*[F.count(n).alias(n) for n in names]).first()
     if max(counts, default=0) <= small:
         return dict(zip(columns, values.agg(*[F.median(n) for n in names]).first()))
 
-    spread = [max(0.0, 0.5 - 10 / ACCURACY), min(1.0, 0.5 + 10 / ACCURACY)]
-    row = values.agg(
-        *[F.struct(F.min(n), F.max(n), F.percentile_approx(n, spread, ACCURACY)).alias(n) for n in names]
-    ).first()
-    bands = {}
+    near = [max(0.0, 0.5 - SLACK), min(1.0, 0.5 + SLACK)]
+    start = values.agg(*[F.struct(F.min(n), F.max(n), F.percentile_approx(n, near, ACCURACY)).alias(n) for n in names]).first()
+    targets = []
     for n in names:
-        if counts[n]:
-            least, most, (low, high) = row[n]
-            bands[n] = _Band(low, high, least, most, ((counts[n] - 1) // 2, counts[n] // 2))
-
-    found: dict[str, float | None] = {n: None for n in names}
-    while bands:
-        facts = values.agg(*[_facts(n, b).alias(n) for n, b in bands.items()]).first()
-        ready = {}
-        for n, b in list(bands.items()):
-            below, inside, distinct = facts[n]
-            if b.ranks[0] < below:
-                b.most, b.low, b.high = b.low, b.least, b.low
-            elif b.ranks[1] >= below + inside:
-                b.least, b.low, b.high = b.high, b.high, b.most
-            elif b.low == b.high:
-                found[n] = b.low
-                del bands[n]
-            elif distinct <= band_values:
-                ready[n] = (b, below)
-        if ready:
-            found |= _read(values, ready)
-            for n in ready:
-                del bands[n]
-        wide = {n: (b, facts[n]) for n, b in bands.items() if b.ranks[0] >= facts[n][0] and b.ranks[1] < facts[n][0] + facts[n][1]}
+        for rank in {(counts[n] - 1) // 2, counts[n] // 2} if counts[n] else ():
+            least, most, (low, high) = start[n]
+            targets.append(_Target(n, rank, least, most, low, high))
+
+    found: dict[str, list[float]] = {n: [] for n in names}
+    while targets:
+        facts = values.agg(*[_facts(t).alias(f"t{i}") for i, t in enumerate(targets)]).first()
+        few, wide, missed = [], [], []
+        for t, (below, inside, distinct) in zip(targets, facts):
+            if t.rank < below:
+                t.most = math.nextafter(t.low, -math.inf)
+                t.low, t.high = t.least, t.most
+                missed.append(t)
+            elif t.rank >= below + inside:
+                t.least = math.nextafter(t.high, math.inf)
+                t.low, t.high = t.least, t.most
+                missed.append(t)
+            elif t.low == t.high:
+                found[t.column].append(t.low)
+            else:
+                t.least, t.most = t.low, t.high
+                (few if distinct <= band_values else wide).append((t, below, inside))
+        if few:
+            for (t, _, _), v in zip(few, _read(values, few)):
+                found[t.column].append(v)
         if wide:
             _shrink(values, wide)
-    return {c: found[n] for c, n in zip(columns, names)}
+        targets = missed + [t for t, _, _ in wide]
+    return {c: sum(found[n]) / len(found[n]) if found[n] else None for c, n in zip(columns, names)}
 
 
-def _facts(name, band):
-    within = F.col(name).between(band.low, band.high)
-    return F.struct(
-        F.count_if(F.col(name) < band.low),
-        F.count_if(within),
-        F.approx_count_distinct(F.when(within, F.col(name))),
-    )
+def _facts(t: _Target) -> Column:
+    distinct = F.approx_count_distinct(F.when(t.band(), F.col(t.column)))
+    return F.struct(F.count_if(F.col(t.column) < t.low), F.count_if(t.band()), distinct)
 
 
-def _shrink(values, wide) -> None:
+def _shrink(values: DataFrame, wide: list) -> None:
+    """A narrower guess from the approximate percentiles of the band; where that does not narrow, halve it."""
     wanted = []
-    for n, (b, (below, inside, _)) in wide.items():
-        at = [(b.ranks[0] - below) / inside - 10 / ACCURACY, (b.ranks[1] - below + 1) / inside + 10 / ACCURACY]
-        at = [min(1.0, max(0.0, a)) for a in at]
-        inner = F.when(F.col(n).between(b.low, b.high), F.col(n))
-        wanted.append(F.percentile_approx(inner, at, ACCURACY).alias(n))
-    row = values.agg(*wanted).first()
-    for n, (b, _) in wide.items():
-        low, high = row[n]
-        if (low, high) == (b.low, b.high):
-            # Heavy values on both ends: split between them; the counts pick the right half.
-            middle = b.low + (b.high - b.low) / 2
-            low, high = b.low, middle
-        b.least, b.most = b.low, b.high
-        b.low, b.high = low, high
-
-
-def _read(values, ready) -> dict[str, float]:
-    """Count the distinct values of the bands (few, by the check above) and walk to the ranks."""
+    for i, (t, below, inside) in enumerate(wide):
+        at = (t.rank - below) / inside
+        span = [min(1.0, max(0.0, at - SLACK)), min(1.0, max(0.0, at + SLACK))]
+        wanted.append(F.percentile_approx(F.when(t.band(), F.col(t.column)), span, ACCURACY).alias(f"t{i}"))
+    for (t, _, _), (low, high) in zip(wide, values.agg(*wanted).first()):
+        if (low, high) == (t.low, t.high):
+            bottom, top = max(low, -sys.float_info.max), min(high, sys.float_info.max)
+            middle = bottom / 2 + top / 2
+            high = middle if low <= middle < high else low
+        t.low, t.high = low, high
+
+
+def _read(values: DataFrame, few: list) -> list[float]:
+    """Count the distinct values of the bands (few, by the check before) and walk to the ranks."""
     pairs = F.array(
-        *[F.struct(F.lit(n).alias("n"), F.when(F.col(n).between(b.low, b.high), F.col(n)).alias("v")) for n, (b, _) in ready.items()]
-    )
-    rows = (
-        values.select(F.explode(pairs).alias("p"))
-        .filter("p.v IS NOT NULL")
-        .groupBy("p.n", "p.v")
-        .count()
-        .collect()
+        *[F.struct(F.lit(i).alias("i"), F.when(t.band(), F.col(t.column)).alias("v")) for i, (t, _, _) in enumerate(few)]
     )
-    out = {}
-    for n, (b, below) in ready.items():
-        at, picked = below, []
-        for _, v, count in sorted(r for r in rows if r[0] == n):
-            picked += [v for rank in b.ranks if at <= rank < at + count]
+    counted = values.select(F.explode(pairs).alias("p")).filter("p.v IS NOT NULL").groupBy("p.i", "p.v").count().collect()
+    out = []
+    for i, (t, below, _) in enumerate(few):
+        at = below
+        for _, v, count in sorted(r for r in counted if r[0] == i):
             at += count
-        out[n] = sum(picked) / 2
+            if t.rank < at:
+                out.append(v)
+                break
     return out
