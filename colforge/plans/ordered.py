@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKET = "__bucket"
-ROWS_PER_BUCKET = 2_000_000
+ROWS_PER_BUCKET = 10_000_000
 MIN_ROWS_PER_BUCKET = 1_000
 SAMPLE_PER_BUCKET = 30
 FILE_ORDER = ("__file", "__row")
@@ -223,6 +223,18 @@ class Runs:
         return (offset + F.col(f"{p}n") - start).cast("long")
 
 
+class _Results(dict):
+    """Feature results by name, built when they are asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.makers: dict[str, Callable[[], Column]] = {}
+
+    def __missing__(self, name):
+        self[name] = self.makers[name]()
+        return self[name]
+
+
 # --- scan -----------------------------------------------------------------------------------------
 
 
@@ -305,13 +317,15 @@ class OrderedScan:
         # The first key alone is enough while it differs between all boundaries.
         leading = [b[0] for b in self.bounds]
         width = 1 if None not in leading and len(set(leading)) == len(leading) else len(cols)
-        fields = ",".join(f"k{i}:{t}" for i, t in enumerate(self._key_types[:width]))
-        text = json.dumps([{f"k{i}": _jsonable(v) for i, v in enumerate(b[:width])} for b in self.bounds])
-        literal = F.from_json(F.lit(text), f"array<struct<{fields}>>")
+        # `from_json` of a literal folds to a literal, so the boundaries cost one lookup per step.
         if width == 1:
-            literal, key = F.transform(literal, lambda s: s["k0"]), cols[0]
+            key, kind = cols[0], self._key_types[0]
+            text = json.dumps([_jsonable(v) for v in leading])
         else:
-            key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols[:width])])
+            key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
+            kind = f"struct<{','.join(f'k{i}:{t}' for i, t in enumerate(self._key_types))}>"
+            text = json.dumps([{f"k{i}": _jsonable(v) for i, v in enumerate(b)} for b in self.bounds])
+        literal = F.from_json(F.lit(text), f"array<{kind}>")
         n = len(self.bounds)
         steps = [1 << i for i in reversed(range(n.bit_length()))]
         found = F.aggregate(
@@ -349,14 +363,14 @@ class OrderedScan:
         With `derive`, the given functions of the feature results become the columns instead;
         a run feature `f` also offers `f.position` and `f.index`.
         """
-        plans, results = {}, {}
+        plans, results = {}, _Results()
         for i, (name, feature) in enumerate(features.items()):
             p = f"__f{i}_"
             plans[name] = feature.plan(p, self)
-            results[name] = feature.result(p, self)
+            results.makers[name] = lambda f=feature, p=p: f.result(p, self)
             if isinstance(feature, Runs):
-                results[f"{name}.position"] = feature.position(p, self)
-                results[f"{name}.index"] = feature.index(p, self)
+                results.makers[f"{name}.position"] = lambda f=feature, p=p: f.position(p, self)
+                results.makers[f"{name}.index"] = lambda f=feature, p=p: f.index(p, self)
         stages = list(plans.values())
         inputs = {k: v for s in stages for k, v in s.inputs.items()}
         based = self.based(inputs)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BAND_VALUES = 10_000
-SMALL_TABLE = 2_000_000
+SMALL_TABLE = 100_000
 ACCURACY = 10_000
 SLACK = 10 / ACCURACY
 

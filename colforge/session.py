@@ -24,7 +24,9 @@ def get_session(app: str = "colforge", master: str | None = None, **conf: str) -
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = SETTINGS | {QUOTED_IDENTIFIERS: "true"} | {k.replace("__", "."): v for k, v in conf.items()}
+    # Recording a Python call site for every column expression costs more than building the plan.
+    fast = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+    settings = SETTINGS | fast | {QUOTED_IDENTIFIERS: "true"} | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -156,6 +156,18 @@ def test_no_single_task_over_the_rows(spark):
         assert wide, "rows go to their bucket in one shuffle"
 
 
+def test_boundaries_are_a_literal(spark):
+    """Thousands of boundaries must not be parsed or rebuilt per row."""
+    df = spark.range(0, 5000, 1, 2).withColumn("same", F.lit(1)).cache()
+    for order in (["id"], ["same", "id"]):
+        scan = OrderedScan(df, order, buckets=1000)
+        assert scan.buckets > 900
+        plan = plan_of(scan.based())
+        assert "from_json" not in plan and "transform(" not in plan
+        sizes = scan.based().groupBy("__bucket").count().agg(F.max("count")).first()[0]
+        assert sizes < 60
+
+
 def test_keyed_join_keeps_the_placement(spark):
     """The summary comes to the rows: both sides are placed by bucket, the rows are not shuffled again."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
