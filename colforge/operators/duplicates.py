@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from colforge.functions.rows import row_hash, without
 from colforge.operators.groups import empty
 from colforge.plans.ordered import OrderedScan, RowIndex, Runs
-from colforge.session import materialize
+from colforge.session import broadcast_if_small, materialize
 
 FULL, FIRST_ROW = "full", "first_row"
 
@@ -130,6 +130,7 @@ class DuplicateGroups:
     def clean(self) -> DataFrame:
         """The table without the later copies; rows without a group stay."""
         losers = self.members().filter("NOT kept").select(F.col("group").alias("__loser"))
+        losers = broadcast_if_small(losers)
         return self.df.join(losers, F.col(self.group) == F.col("__loser"), "left_anti")
 
     def frequency(self) -> DataFrame:

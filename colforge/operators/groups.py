@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from colforge.functions.timeparse import duration_seconds, seconds_of
 from colforge.plans.ordered import OrderedScan, Runs
-from colforge.session import materialize
+from colforge.session import broadcast_if_small, materialize
 
 NO_GROUP = -1
 
@@ -150,7 +150,7 @@ def hierarchy(df, block: Rule, group: Rule, *, order_by, sequence="sequence") ->
     numbered = materialize(OrderedScan(df, order_by).add({block.out: outer, "__g": inner}, derive))
     first = numbered.groupBy(block.out).agg(F.min("__g").alias("__first"))
     return (
-        numbered.join(first, block.out)
+        numbered.join(broadcast_if_small(first), block.out)
         .withColumn(group.out, F.col("__g") - F.col("__first"))
         .select(*df.columns, block.out, group.out, sequence)
     )

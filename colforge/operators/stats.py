@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from colforge.functions.rows import numeric_form
 from colforge.plans.ordered import OrderedScan, RowIndex
 from colforge.plans.quantile import SMALL_TABLE, exact_medians
-from colforge.session import materialize
+from colforge.session import broadcast_if_small, materialize
 
 
 def numeric_view(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -107,4 +107,5 @@ def category_codes(df: DataFrame, column: str, out: str | None = None, *, order_
     first = df.groupBy(F.col(column).alias("__category")).agg(F.min(F.struct(*keys)).alias("__first"))
     first = materialize(first.select("__category", *[F.col(f"__first.{k}").alias(f"__k{i}") for i, k in enumerate(keys)]))
     codes = OrderedScan(first, [f"__k{i}" for i in range(len(keys))]).add({out: RowIndex()}).select("__category", out)
+    codes = broadcast_if_small(codes)
     return df.join(codes, df[column].eqNullSafe(codes["__category"]), "left").drop("__category")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -57,3 +58,16 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/colforge/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a narrow side for broadcast after measuring it; a larger one is joined by shuffle, skew left to AQE.
+
+    Without the mark a big table would be shuffled before its join partner turns out to be small.
+    """
+    cell = sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    size = df.agg(F.sum(cell.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df

@@ -16,6 +16,8 @@ from colforge.functions.infer import NULL_TOKENS, TYPES, ColumnType, blank_nulls
 DELIMITERS = (",", "\t", ";", "|")
 LINE = ("__file", "__block", "__line")
 PREVIEW_LINES = 50
+# One row of a path and a number per file: up to here the table of header places is broadcast (some 30 MB).
+MANY_FILES = 100_000
 
 
 @dataclass
@@ -106,7 +108,8 @@ def _first_lines(spark, path, n):
 
 def _after_header(lines: DataFrame, head: list, header_row: int) -> DataFrame:
     """Drop the lines up to the header, in every file."""
-    if len(lines.inputFiles()) == 1 and all(r["__block"] == 0 and r["__line"] == i for i, r in enumerate(head)):
+    files = len(lines.inputFiles())
+    if files == 1 and all(r["__block"] == 0 and r["__line"] == i for i, r in enumerate(head)):
         # One file: its first split is the first task, so the line number is the line's position.
         return lines.filter((F.col("__block") > 0) | (F.col("__line") > header_row))
     ranked = lines.filter(F.col("__block") == 0).select(
@@ -114,7 +117,7 @@ def _after_header(lines: DataFrame, head: list, header_row: int) -> DataFrame:
     )
     # One row per file; the partial rank limit before the shuffle keeps header_row + 1 lines of each.
     heads = ranked.filter(F.col("n") <= header_row + 1).groupBy("__file").agg(F.max("__line").alias("__cut"))
-    joined = lines.join(heads, "__file", "left")
+    joined = lines.join(F.broadcast(heads) if files <= MANY_FILES else heads, "__file", "left")
     return joined.filter((F.col("__block") > 0) | (F.col("__line") > F.col("__cut"))).drop("__cut")
 
 

@@ -89,6 +89,15 @@ def test_hot_group_and_hot_class(spark, monkeypatch):
     assert dup.statistics().first()["unique_groups"] == len(keep)
 
 
+def test_broadcast_is_measured(spark):
+    from colforge.session import broadcast_if_small
+
+    big = spark.range(1000)
+    side = spark.range(50).withColumn("s", F.repeat(F.lit("x"), 100))
+    plan = lambda limit: big.join(broadcast_if_small(side, limit), "id", "left_anti")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(1 << 20) and "broadcast" not in plan(1000)
+
+
 def test_marker_blocks(spark):
     marks = [None, None, "t", "t", None, "t", "t", None, "t", "", "t", "t"]
     body = "zabcabcaxabc"
