@@ -118,7 +118,7 @@ class Previous:
             cell = F.when(self.valid, cell)
         return Stage(
             inputs={f"{p}cell": cell},
-            local=[{f"{p}prev": F.last(f"{p}cell", ignorenulls=True).over(scan.before_here)}],
+            local=[{f"{p}prev": scan.previous(f"{p}cell", self.valid is None)}],
             summary={f"{p}last": F.max_by(f"{p}cell", F.when(F.col(f"{p}cell").isNotNull(), scan.key))},
             carry=[{f"{p}before": F.last(f"{p}last", ignorenulls=True).over(scan.earlier_buckets)}],
             carried=[f"{p}before"],
@@ -166,7 +166,7 @@ class Runs:
             inputs={f"{p}cell": cell},
             local=[
                 {
-                    f"{p}prev": F.last(f"{p}cell", ignorenulls=True).over(scan.before_here),
+                    f"{p}prev": scan.previous(f"{p}cell", self.valid is None),
                     f"{p}n": F.row_number().over(scan.local),
                 },
                 {f"{p}start": F.coalesce(starts, F.lit(False)).cast("int")},
@@ -306,6 +306,10 @@ class OrderedScan:
         self._key_types = [f.dataType.simpleString() for f in keys.schema.fields]
         return list(dict.fromkeys(tuple(r) for r in picked.collect()))
 
+    def previous(self, name: str, every_row: bool) -> Column:
+        """The column one row before, or its last non-NULL value before."""
+        return F.lag(name).over(self.local) if every_row else F.last(name, ignorenulls=True).over(self.before_here)
+
     def carried(self, name: str) -> Column:
         """A column that came from earlier buckets; there are none in a plain scan."""
         return F.lit(None) if self.plain else F.col(name)
