@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from functools import cache
@@ -42,13 +43,24 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir`, else a local one (tests, laptops)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """Folder every executor can reach: `spark.checkpoint.dir`, or what `setCheckpointDir` chose.
+
+    Without either, one process (`local[...]`) gets a folder of its own that goes with it; a cluster raises, since a
+    folder of the driver's machine would lose the rows that other machines write.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own_dir()
+    return folder.rstrip("/")
 
 
 @cache
 def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="colforge-")
+    folder = tempfile.TemporaryDirectory(prefix="colforge-")
+    atexit.register(folder.cleanup)
+    return folder.name
 
 
 def materialize(df: DataFrame) -> DataFrame:
