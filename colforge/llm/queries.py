@@ -33,3 +33,10 @@ def op1_token_frames(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     files = write_frames(docs, tokenizer_file("word_bpe_49k.json"), new_folder(spark), end_id=1)
     return read_frames(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op6_packing")
+def op6_packing(spark, sf_dir):
+    from colforge.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
