@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colforge.llm.common import table
+from colforge.llm.common import crc_fold, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -40,3 +40,13 @@ def op6_packing(spark, sf_dir):
     from colforge.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+@query("op4_language")
+def op4_language(spark, sf_dir):
+    from colforge.llm.language import identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_fold("doc_id", 4) == 2
+    judged = identify(docs.withColumn("held_out", held_out), train(docs, ~held_out))
+    return judged.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
