@@ -50,3 +50,14 @@ def op4_language(spark, sf_dir):
     held_out = crc_fold("doc_id", 4) == 2
     judged = identify(docs.withColumn("held_out", held_out), train(docs, ~held_out))
     return judged.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    from colforge.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_fold("doc_id", 5) == 0
+    model = train(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    scored = score(docs.withColumn("held_out", held_out), model, "score")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
