@@ -61,3 +61,10 @@ def op2_toxicity(spark, sf_dir):
     model = train(docs.where(~held_out), table(spark, sf_dir, "labels"))
     scored = score(docs.withColumn("held_out", held_out), model, "score")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark, sf_dir):
+    from colforge.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
