@@ -68,3 +68,10 @@ def op3_near_duplicates(spark, sf_dir):
     from colforge.llm.near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark, sf_dir):
+    from colforge.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
