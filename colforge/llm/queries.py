@@ -75,3 +75,11 @@ def op10_decontaminate(spark, sf_dir):
     from colforge.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark, sf_dir):
+    from colforge.llm.token_counts import count_tokens
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", "n_tokens")
