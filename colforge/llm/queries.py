@@ -83,3 +83,21 @@ def op5_token_counts(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
+# Fixed values of the query: host, beginning of the path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op8_url_filter")
+def op8_url_filter(spark, sf_dir):
+    from colforge.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES).drop("by_alias")
+
+
+@query("op9_quotations")
+def op9_quotations(spark, sf_dir):
+    from colforge.llm.quotes import conversations
+
+    return conversations(table(spark, sf_dir, "conversations"))
