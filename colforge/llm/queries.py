@@ -101,3 +101,10 @@ def op9_quotations(spark, sf_dir):
     from colforge.llm.quotes import conversations
 
     return conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_nearest_vectors")
+def op7_nearest_vectors(spark, sf_dir):
+    from colforge.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
