@@ -1,4 +1,4 @@
-"""What several operators of this package need: bounded batches, word hashes, stored intermediates, components."""
+"""What several operators of this package need: bounded batches, folds, hashing, connected components."""
 
 from __future__ import annotations
 
@@ -9,9 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colforge.session import materialize, shared_dir
-
-__all__ = ["crc_fold", "lower_ascii", "materialize", "prepare", "shared_dir", "table", "word_hashes", "components"]
+from colforge.session import materialize, shared_dir  # noqa: F401
 
 # Rows that Spark hands to Python at once: long texts are among them, and a batch is held in memory.
 BATCH_ROWS = 256
@@ -27,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, longer where `df` has a column of that name."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def crc_fold(key: str, folds: int) -> Column:
     """Fold of a row: crc32 of the key's decimal text, modulo `folds`; the crc of '' for a null key."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
@@ -36,19 +41,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def word_hashes(text: Column, separators: str) -> Column:
-    """64-bit hash of each word of the whole text, in order; words lie between runs of `separators`."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), separators), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
-def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets (from 0) of a list column without nulls."""
-    offsets = column.offsets.to_numpy()
-    values = column.values.to_numpy(zero_copy_only=False)
-    return values[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of unsigned 64-bit integers (xor-shift and multiply rounds)."""
     x = x.astype(np.uint64, copy=True)

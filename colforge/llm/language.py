@@ -159,7 +159,6 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers per bit
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_ambiguous")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept)).withColumn("__text", F.col("text").cast("string"))
 
     @F.arrow_udf("struct<p:string,s:double,a:boolean>")
     def judge(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -173,5 +172,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                     names[k], scores[k], unclear[k] = m.languages[a], float(s), bool(d)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unclear, pa.bool_())], names=["p", "s", "a"])
 
-    out = rows.withColumn("__judged", judge(F.col("__text")))
-    return out.select(*(F.col(f"`{c}`") for c in kept), F.col("__judged.p").alias("lang_pred"), F.col("__judged.s").alias("lang_score"), F.col("__judged.a").alias("lang_ambiguous"))
+    # Nested, so that no column of the input can clash with a helper.
+    judged = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), judge(F.col("text").cast("string")).alias("judged"))
+    fields = [F.col("row").getField(c).alias(c) for c in kept]
+    return judged.select(*fields, F.col("judged.p").alias("lang_pred"), F.col("judged.s").alias("lang_score"), F.col("judged.a").alias("lang_ambiguous"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colforge.llm import decontaminate, language, near_dup, packing, toxicity
-from colforge.llm.common import crc_fold, prepare, shared_dir, table
+from colforge.llm.common import crc_fold, free_name, prepare, shared_dir, table
 
 
 def _tokenizer() -> str:
@@ -28,15 +28,17 @@ def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; without letters, or with two languages alike, they go."""
     model = language.train(docs, crc_fold("doc_id", 4) != 2)
-    judged = language.identify(docs, model)
-    kept = judged.where("lang_pred <> 'und' AND NOT lang_ambiguous")
-    return _columns(kept, docs)
+    # Judged beside the row, so that columns named like the operator's come through as they were.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    kept = language.identify(rows, model).where("lang_pred <> 'und' AND NOT lang_ambiguous")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity below one half. Learns from labelled documents outside fold 0 of 5."""
     model = toxicity.train(docs.where(crc_fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
-    return _columns(toxicity.score(docs, model, "__toxicity").where("`__toxicity` < 0.5"), docs)
+    name = free_name(docs, "toxicity")
+    return _columns(toxicity.score(docs, model, name).where(F.col(name) < 0.5), docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
