@@ -29,7 +29,7 @@ BUCKETS = 1 << 13
 GRAMS = (2, 3, 4)
 PART_BYTES = 1 << 20
 FRAGMENT = 60
-AMBIGUOUS = 0.2
+AMBIGUOUS = 0.1
 
 # ASCII bytes that are not letters become spaces; a letter keeps its lower-case form.
 _FOLD = np.arange(256, dtype=np.uint8)
