@@ -63,6 +63,11 @@ def by_batch(fn) -> callable:
     return run
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Number of edges and two checks over all of them: equal when nothing has moved."""
+    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("pmod(xxhash64(b, a), 1000003)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node that can be reached.
 
@@ -73,17 +78,16 @@ def components(edges: DataFrame) -> DataFrame:
     to the shared folder, so that a lost executor costs its tasks only.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
+    mark = _mark(now)
+    while mark[0]:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.where("a <> b").distinct())
+        large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialize(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = materialize(hung.where("a <> b").distinct())
-        seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("pmod(xxhash64(b, a), 1000003)"))).first()
-        if mark == tuple(seen):
+        before, mark = mark, _mark(now)
+        if mark == before:
             break
-        mark = tuple(seen)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
