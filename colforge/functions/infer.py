@@ -44,13 +44,15 @@ SPARK_TYPES = {
     "datetime": "timestamp_ntz", "time_s": "bigint", "time_ms": "bigint", "time_us": "bigint", "time_ns": "bigint", "blob": "binary",
 }
 
-# SQL names accepted when a table is declared; anything else is text.
+# SQL names accepted when a table is declared; anything else is text.
 SQL_NAMES = {
     "INTEGER": "integer", "INT": "integer", "BIGINT": "integer", "REAL": "real", "DOUBLE": "real", "FLOAT": "real",
     "BOOLEAN": "boolean", "BOOL": "boolean", "TEXT": "text", "VARCHAR": "text", "STRING": "text", "TIMESTAMP": "datetime",
 }
 
 FIRST_LOOK = 1000
+# Day first is the reading of a column in which both fit every cell.
+ORDERS = ("dmy", "mdy")
 
 _INTEGER = r"^[+-]?\d{1,19}$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -77,8 +79,8 @@ def _boolean(value):
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
-def convert(value: Column, kind: str) -> Column:
-    """The text as a typed value; NULL when it is no such value.
+def convert(value: Column, kind: str, order: str | None = None) -> Column:
+    """The text as a typed value; NULL when it is no such value. `order` is that of day and month, `dmy` or `mdy`.
 
     Times become microseconds since midnight. A whole number counts as seconds in a datetime column and
     as the column's own unit in a time column.
@@ -91,9 +93,9 @@ def convert(value: Column, kind: str) -> Column:
     if kind == "boolean":
         return _boolean(text)
     if kind == "date":
-        return parse_date(text)
+        return parse_date(text, order)
     if kind == "datetime":
-        return F.coalesce(parse_instant(text), F.timestamp_seconds(_integer(text)).cast("timestamp_ntz"))
+        return F.coalesce(parse_instant(text, order), F.timestamp_seconds(_integer(text)).cast("timestamp_ntz"))
     if kind.startswith("time_"):
         per_second = PER_SECOND[kind[5:]]
         number = _integer(text)
@@ -130,8 +132,11 @@ def header_unit(name: str) -> str | None:
 
 @dataclass(frozen=True)
 class ColumnType:
+    """`order`: how all days and months of a date column are ordered, where its cells show it."""
+
     kind: str
     digits: int = 0
+    order: str | None = None
 
 
 def infer_types(df: DataFrame, headers: Sequence[str] | None = None, kinds: Sequence[str] = TYPES) -> dict[str, ColumnType]:
@@ -188,6 +193,9 @@ def _facts(df: DataFrame, units, possible):
         fields += [
             F.coalesce(F.bool_and(F.when(value.isNotNull(), _test(text, k, units[i]))), F.lit(True)).alias(k) for k in possible[i]
         ]
+        # Do all cells agree on one order of day and month?
+        parsers = {"date": parse_date, "datetime": parse_instant}
+        fields += [F.bool_and(F.when(value.isNotNull(), parsers[k](text, order).isNotNull())).alias(f"{k}_{order}") for k in parsers if k in possible[i] for order in ORDERS]
         facts.append(F.struct(*fields).alias(f"c{i}"))
     return df.agg(*facts).first()
 
@@ -200,16 +208,23 @@ def _decide(fact, unit, kinds) -> ColumnType:
         return ColumnType(f"time_{unit}", digits)
     for kind in ("boolean", "integer", "real", "datetime", "date"):
         if kind in kinds and fact.get(kind):
-            return ColumnType(kind)
+            return ColumnType(kind, order=next((o for o in ORDERS if fact.get(f"{kind}_{o}")), None))
     if fact.get("time") and "time_s" in kinds:
         return ColumnType("time_s" if digits == 0 else "time_ms" if digits <= 3 else "time_us" if digits <= 6 else "time_ns", digits)
     return ColumnType("text")
 
 
-def invalid_values(df: DataFrame, column: str, kind: str, tokens: Sequence[str] = NULL_TOKENS, n: int = 5) -> DataFrame:
-    """Up to `n` rows whose text is no value of the chosen type (none: the type fits)."""
+def invalid_values(
+    df: DataFrame, column: str, kind: str, tokens: Sequence[str] = NULL_TOKENS, n: int = 5, *, order_by: Sequence[str] | None = None
+) -> DataFrame:
+    """The first `n` rows whose text is no value of the chosen type (none: the type fits), with their place.
+
+    `order_by` gives the order, by default the place columns of a file where `df` has them.
+    """
     value = blank_nulls(F.col(column), tokens)
-    return df.filter(value.isNotNull() & ~can_parse(value, kind)).limit(n)
+    order = list(order_by) if order_by else [c for c in ("__file", "__block", "__line") if c in df.columns]
+    bad = df.filter(value.isNotNull() & ~can_parse(value, kind))
+    return bad.orderBy(*order).limit(n) if order else bad.limit(n)
 
 
 def max_fraction_digits(df: DataFrame, column: str) -> int:

@@ -53,22 +53,28 @@ def clock_text(micros: Column, digits: int = 0) -> Column:
     return F.when(micros.isNotNull(), text)
 
 
-def parse_datetime(value: Column) -> Column:
+def _in_order(formats, order: str | None):
+    """The formats of one order of day and month (`dmy` or `mdy`), years first included; all of them without an order."""
+    other = {"dmy": "M", "mdy": "d"}.get(order)
+    return [f for f in formats if f[0] != other]
+
+
+def parse_datetime(value: Column, order: str | None = None) -> Column:
     """The accepted datetime spellings to TIMESTAMP_NTZ, else NULL. Uses the real calendar."""
     # One look at the shape decides which parser runs at all.
     return F.when(value.rlike(ISO_SHAPE), value.try_cast("timestamp_ntz")).when(
-        value.rlike(OTHER_SHAPE), F.coalesce(*[_try_ntz(value, f) for f in DATETIME_FORMATS])
+        value.rlike(OTHER_SHAPE), F.coalesce(*[_try_ntz(value, f) for f in _in_order(DATETIME_FORMATS, order)])
     )
 
 
-def parse_instant(value: Column) -> Column:
+def parse_instant(value: Column, order: str | None = None) -> Column:
     """Like `parse_datetime`, and also an ISO text with a zone, moved to UTC."""
     zoned = F.to_utc_timestamp(value.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
-    return F.when(value.rlike(ZONED_SHAPE), zoned).otherwise(parse_datetime(value))
+    return F.when(value.rlike(ZONED_SHAPE), zoned).otherwise(parse_datetime(value, order))
 
 
-def parse_date(value: Column) -> Column:
-    tries = [_try_ntz(value, f).cast("date") for f in DATE_FORMATS]
+def parse_date(value: Column, order: str | None = None) -> Column:
+    tries = [_try_ntz(value, f).cast("date") for f in _in_order(DATE_FORMATS, order)]
     return F.when(value.rlike(DATE_SHAPE), F.coalesce(*tries))
 
 
@@ -85,6 +91,24 @@ def parse_seconds(value: Column) -> Column:
     return F.coalesce(epoch, instant, clock)
 
 
+def parse_micros(value: Column) -> Column:
+    """Like `parse_seconds`, in microseconds: fractions of a second are kept."""
+    text = F.trim(value)
+    epoch = F.when(text.rlike(r"^[+-]?\d{1,12}$"), text).try_cast("long") * 1_000_000
+    return F.coalesce(epoch, ntz_micros(parse_instant(text)), micros_of_day(text, allow_hm=True))
+
+
+def micros_of(column: Column, data_type: T.DataType) -> Column:
+    """Microseconds of a typed or text time column."""
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(data_type, T.TimestampNTZType):
+        return ntz_micros(column)
+    if isinstance(data_type, T.StringType):
+        return parse_micros(column)
+    return seconds_of(column, data_type) * 1_000_000
+
+
 def ntz_micros(value: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), value)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal, InvalidOperation
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -66,12 +67,23 @@ def _matches(df: DataFrame, rule: Rule) -> Column:
     c, kind = F.col(rule.column), df.schema[rule.column].dataType
     if rule.value is None:
         return c.isNull()
+    if isinstance(kind, (T.IntegralType, T.DecimalType)):
+        # Whole and decimal numbers keep all their digits; a value that such a column cannot hold matches nothing.
+        try:
+            number = Decimal(str(int(rule.value) if isinstance(rule.value, bool) else rule.value).strip())
+        except InvalidOperation:
+            return F.lit(False)
+        if not number.is_finite() or (isinstance(kind, T.IntegralType) and number != number.to_integral_value()):
+            return F.lit(False)
+        text = format(number.to_integral_value() if isinstance(kind, T.IntegralType) else number, "f")
+        wanted = F.lit(text).try_cast("decimal(38,0)" if isinstance(kind, T.IntegralType) else f"decimal(38,{min(18, max(kind.scale, 0))})")
+        return F.coalesce(c.cast(_wide(kind)) == wanted, F.lit(False))
     wanted = F.lit(rule.value)
-    if isinstance(kind, T.NumericType):
-        c, wanted = c.cast("double"), wanted.try_cast("double")
-    else:
-        wanted = wanted.try_cast(kind)
-    return F.coalesce(c == wanted, F.lit(False))
+    return F.coalesce(c == wanted.try_cast("double" if isinstance(kind, T.NumericType) else kind), F.lit(False))
+
+
+def _wide(kind: T.DataType) -> str:
+    return "decimal(38,0)" if isinstance(kind, T.IntegralType) else kind.simpleString()
 
 
 def _feature(df: DataFrame, rule: Rule):

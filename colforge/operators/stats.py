@@ -18,11 +18,23 @@ def numeric_view(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """All columns with a numeric form, as double: booleans 0/1, times in seconds."""
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.TimestampType, T.TimestampNTZType, T.DateType))]
-    return df.select(*[numeric_form(F.col(c), df.schema[c].dataType).alias(c) for c in columns])
+    return df.select(*[_figure(df, c).alias(c) for c in columns])
+
+
+def _figure(df: DataFrame, column: str) -> Column:
+    """The numeric form of a column; NaN is no value, so that one rule holds for all figures."""
+    return F.nanvl(numeric_form(F.col(column), df.schema[column].dataType).cast("double"), F.lit(None).cast("double"))
+
+
+def nan_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, nans: how many cells `summary` and `histogram` leave out as NaN."""
+    form = lambda c: numeric_form(F.col(c), df.schema[c].dataType).cast("double")
+    one = df.agg(*[F.struct(F.lit(c).alias("column"), F.count_if(F.isnan(form(c))).alias("nans")).alias(f"c{i}") for i, c in enumerate(columns)])
+    return one.select(F.inline(F.array(*[f"c{i}" for i in range(len(columns))])))
 
 
 def summary(df: DataFrame, columns: Sequence[str], small: int = SMALL_TABLE) -> DataFrame:
-    """One row per column: column, values, min, max, mean, exact median, population standard deviation."""
+    """One row per column: column, values, min, max, mean, exact median, population standard deviation; all without NaN."""
     view = numeric_view(df, columns)
     medians = exact_medians(view, columns, small)
     wide = view.agg(
@@ -74,7 +86,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30, selection: dict[str, t
     """Equal-width bins from min to max: bin, low, high, rows (and `selected` rows). Empty bins are left out."""
     if bins < 1:
         raise ValueError("at least one bin")
-    x = numeric_form(F.col(column), df.schema[column].dataType)
+    x = _figure(df, column)
     hit = in_ranges(df, selection) if selection else F.lit(True)
     # One map-side combined aggregate over the rows; the limits are a one-row subquery.
     edge = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("e")).scalar()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from colforge.functions.timeparse import (
     DAY_SECONDS,
     boundary_seconds,
     duration_seconds,
-    ntz_micros,
+    micros_of,
     parse_seconds,
     seconds_of,
 )
@@ -42,19 +43,33 @@ def bin_relative(df, column, interval, out="bin") -> DataFrame:
     return df.withColumn(out, F.coalesce(F.floor((seconds - start) / size).cast("long"), F.lit(NO_TIME)))
 
 
-def bin_absolute(df, column, size_seconds: float, out="bin") -> DataFrame:
-    """`floor(epoch seconds / size)`; the size may be fractional. NULL stays NULL. Also works on a stream."""
-    if size_seconds <= 0:
+def exact_size(seconds: float | str | Fraction) -> Fraction:
+    """The size as an exact fraction; a float counts as the simple fraction it was written for (0.1, 1/3)."""
+    if not isinstance(seconds, float):
+        return Fraction(seconds)
+    simple = Fraction(seconds).limit_denominator(1_000_000)
+    return simple if float(simple) == seconds else Fraction(seconds).limit_denominator(10**15)
+
+
+def bin_absolute(df, column, size_seconds: float | str | Fraction, out="bin") -> DataFrame:
+    """`floor(epoch seconds / size)`, exact for any fraction of a second. NULL stays NULL. Also works on a stream."""
+    size = exact_size(size_seconds)
+    if size <= 0:
         raise ValueError("the size must be positive")
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.TimestampNTZType):
-        micros = ntz_micros(F.col(column))
-    elif isinstance(kind, T.TimestampType):
-        micros = F.unix_micros(F.col(column))
-    else:
-        micros = _seconds(df, column) * 1_000_000
-    size_micros = round(size_seconds * 1_000_000)
-    return df.withColumn(out, F.floor((micros - F.pmod(micros, F.lit(size_micros))) / size_micros).cast("long"))
+    micros = micros_of(F.col(column), df.schema[column].dataType)
+    size_micros = size * 1_000_000
+    if size_micros.denominator > 1:  # whole units of 1/denominator microseconds, beyond 64 bits
+        unit = size_micros.denominator
+        if unit >= 10**18:
+            raise ValueError(f"the size {size_seconds!r} needs too many digits")
+        micros = micros.cast("decimal(19,0)") * F.lit(unit).cast("decimal(18,0)")
+    whole = F.lit(size_micros.numerator).cast("decimal(38,0)" if size_micros.denominator > 1 or size_micros.numerator >> 63 else "long")
+    return df.withColumn(out, _floor_div(micros, whole))
+
+
+def _floor_div(a: Column, b: Column) -> Column:
+    """Integer quotient rounded down; `div` rounds towards zero."""
+    return F.call_function("div", a - F.pmod(a, b), b).cast("long")
 
 
 def bin_manual(df, column, boundaries: Sequence[str | int], out="bin") -> DataFrame:

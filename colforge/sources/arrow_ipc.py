@@ -54,6 +54,8 @@ def _plain_type(kind: pa.DataType) -> pa.DataType:
     """The Arrow type Spark has: times as int64 microseconds, timestamps in microseconds, no dictionaries."""
     if pa.types.is_dictionary(kind):
         return _plain_type(kind.value_type)
+    if kind == pa.uint64():
+        return pa.decimal128(20, 0)
     if pa.types.is_time(kind) or pa.types.is_unsigned_integer(kind):
         return pa.int64()
     if pa.types.is_timestamp(kind):

@@ -12,30 +12,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colforge.functions.infer import NULL_TOKENS, TYPES, ColumnType, blank_nulls, convert, infer_types
+from colforge.session import broadcast_if_small, materialize
 
 DELIMITERS = (",", "\t", ";", "|")
 LINE = ("__file", "__block", "__line")
 PREVIEW_LINES = 50
-# One row of a path and a number per file: up to here the table of header places is broadcast (some 30 MB).
-MANY_FILES = 100_000
+# Different headers that the files of one folder may have; they are compared on the driver.
+LAYOUTS = 1000
 
 
 @dataclass
 class CsvOptions:
     """`header_row` counts physical lines from 0; None means there is no header.
 
-    `types` fixes types by column name; other columns are inferred from the whole file, or from the first
-    `sample_rows` rows. `columns` keeps some columns. `text_null_as_empty` gives '' instead of NULL in text.
+    `types` fixes types by column name (a kind, or a `ColumnType` with the order of day and month); other columns
+    are inferred from all rows. `columns` keeps some columns. `text_null_as_empty` gives '' instead of NULL in text.
     """
 
     header_row: int | None = 0
     delimiter: str | None = None
     null_tokens: Sequence[str] = NULL_TOKENS
-    types: dict[str, str] = field(default_factory=dict)
+    types: dict[str, str | ColumnType] = field(default_factory=dict)
     columns: Sequence[str] | None = None
     quotes: bool = True
     comment: str = "#"
-    sample_rows: int | None = None
     text_null_as_empty: bool = False
     kinds: Sequence[str] = TYPES
 
@@ -106,19 +106,45 @@ def _first_lines(spark, path, n):
     return read_lines(spark, path).limit(n).collect()
 
 
-def _after_header(lines: DataFrame, head: list, header_row: int) -> DataFrame:
-    """Drop the lines up to the header, in every file."""
-    files = len(lines.inputFiles())
-    if files == 1 and all(r["__block"] == 0 and r["__line"] == i for i, r in enumerate(head)):
-        # One file: its first split is the first task, so the line number is the line's position.
-        return lines.filter((F.col("__block") > 0) | (F.col("__line") > header_row))
+def _headers(lines: DataFrame, header_row: int) -> DataFrame:
+    """One row per file: `__cut`, the number of its header line, and `__header`, that line (NULL in a shorter file)."""
     ranked = lines.filter(F.col("__block") == 0).select(
-        "__file", "__line", F.row_number().over(Window.partitionBy("__file").orderBy("__line")).alias("n")
+        "__file", "__line", "value", F.row_number().over(Window.partitionBy("__file").orderBy("__line")).alias("n")
     )
-    # One row per file; the partial rank limit before the shuffle keeps header_row + 1 lines of each.
-    heads = ranked.filter(F.col("n") <= header_row + 1).groupBy("__file").agg(F.max("__line").alias("__cut"))
-    joined = lines.join(F.broadcast(heads) if files <= MANY_FILES else heads, "__file", "left")
-    return joined.filter((F.col("__block") > 0) | (F.col("__line") > F.col("__cut"))).drop("__cut")
+    # The partial rank limit before the shuffle keeps header_row + 1 lines of each file.
+    ranked = ranked.filter(F.col("n") <= header_row + 1)
+    header = F.max(F.when(F.col("n") == header_row + 1, F.col("value")))
+    return ranked.groupBy("__file").agg(F.max("__line").alias("__cut"), header.alias("__header"))
+
+
+def _after_header(lines: DataFrame, head: list, header_row: int) -> tuple[DataFrame, list[str | None]]:
+    """The lines below the header of every file, with `__layout`: the place of the file's header among the distinct ones."""
+    if len(head) == header_row + 1 and all(r["__block"] == 0 and r["__line"] == i for i, r in enumerate(head)) and _one_file(lines):
+        # One file: its first split is the first task, so the line number is the line's position.
+        below = lines.filter((F.col("__block") > 0) | (F.col("__line") > header_row))
+        return below.withColumn("__layout", F.lit(0)), [head[-1]["value"]]
+    heads = materialize(_headers(lines, header_row))
+    known = [r[0] for r in heads.select("__header").distinct().limit(LAYOUTS + 1).collect()]
+    if len(known) > LAYOUTS:
+        raise ValueError(f"the files have more than {LAYOUTS} different headers")
+    known.sort(key=lambda h: (h is None, h or ""))
+    layout = F.coalesce(*[F.when(F.col("__header").eqNullSafe(F.lit(h)), F.lit(i)) for i, h in enumerate(known)])
+    # Broadcast while it is small; beyond that the join is left to adaptive execution, which splits a very large file.
+    joined = lines.join(broadcast_if_small(heads.select("__file", "__cut", layout.alias("__layout"))), "__file", "left")
+    return joined.filter((F.col("__block") > 0) | (F.col("__line") > F.col("__cut"))).drop("__cut"), known
+
+
+def _one_file(lines: DataFrame) -> bool:
+    return len(lines.select("__file").distinct().limit(2).collect()) == 1
+
+
+def _places(names: list[str], headers: list[str | None], delimiter: str, quotes: bool) -> list[list[int] | None]:
+    """For each header where the columns of `names` stand in it; None when it does not have exactly these columns."""
+    out = []
+    for header in headers:
+        own = unique_names(split_line(header, delimiter, quotes)) if header is not None else []
+        out.append([own.index(n) for n in names] if sorted(own) == sorted(names) else None)
+    return out
 
 
 def _fields(n: int, delimiter: str, quotes: bool) -> Column:
@@ -145,23 +171,35 @@ def _skipped(comment: str) -> Column:
     return blank.when(value.startswith(comment), F.lit("comment")) if comment else blank
 
 
-def _good_fields(lines: DataFrame, n: int, o: CsvOptions, delimiter: str) -> DataFrame:
+def _good_fields(lines: DataFrame, n: int, o: CsvOptions, delimiter: str, places: list[list[int] | None]) -> DataFrame:
     """Place and fields of the data lines. `inline` over none or one struct parses every line once."""
     parsed = F.filter(F.array(_fields(n, delimiter, o.quotes)), lambda p: p["bad"].isNull())
-    return lines.filter(_skipped(o.comment).isNull()).select(*LINE, F.inline(parsed)).drop("bad")
+    fit = [i for i, p in enumerate(places) if p is not None]
+    rows = lines.filter(_skipped(o.comment).isNull() & F.col("__layout").isin(fit))
+    rows = rows.select(*LINE, "__layout", F.inline(parsed)).drop("bad")
+    if all(places[i] == list(range(n)) for i in fit):
+        return rows.drop("__layout")
+
+    def cell(k):
+        return F.coalesce(*[F.when(F.col("__layout") == i, F.col(f"c{places[i][k]}")) for i in fit]).alias(f"c{k}")
+
+    return rows.select(*LINE, *[cell(k) for k in range(n)])
 
 
-def _rejects(lines: DataFrame, n: int, o: CsvOptions, delimiter: str) -> DataFrame:
+def _rejects(lines: DataFrame, n: int, o: CsvOptions, delimiter: str, places: list[list[int] | None] | None = None) -> DataFrame:
     wrong = F.when(_fields(n, delimiter, o.quotes)["bad"].isNotNull(), F.lit("field count"))
-    reasons = lines.withColumn("reason", F.coalesce(_skipped(o.comment), wrong))
+    other = [i for i, p in enumerate(places or []) if p is None]
+    strange = F.when(F.col("__layout").isin(other), F.lit("header")) if other else F.lit(None).cast("string")
+    reasons = lines.withColumn("reason", F.coalesce(_skipped(o.comment), strange, wrong))
     return reasons.filter("reason IS NOT NULL").select(*LINE, "reason", "value")
 
 
 def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None) -> CsvTable:
-    """Read a file, or a folder of files of one layout, into typed columns.
+    """Read a file, or a folder of files with the same columns, into typed columns.
 
-    Blank lines, comments and lines with a wrong field count are left out and listed in `rejects`. The
-    driver only sees the first lines (for header and delimiter) and one row of facts (for the types).
+    Blank lines, comments and lines with a wrong field count are left out and listed in `rejects`. Columns are found
+    by name in every file of a folder, whatever their order; lines of a file with other columns are rejected for its
+    header. The driver sees the first lines, the distinct headers and one row of facts (for the types).
     """
     o = options or CsvOptions()
     header_row = -1 if o.header_row is None else o.header_row
@@ -178,22 +216,25 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
 
     lines = read_lines(spark, path)
     if header_row >= 0:
-        lines = _after_header(lines, head, header_row)
-    rejects = _rejects(lines, len(names), o, delimiter)
-    fields = _good_fields(lines, len(names), o, delimiter)
+        lines, headers = _after_header(lines, head, header_row)
+        places = _places(names, headers, delimiter, o.quotes)
+    else:
+        lines, places = lines.withColumn("__layout", F.lit(0)), [list(range(len(names)))]
+    rejects = _rejects(lines, len(names), o, delimiter, places)
+    fields = _good_fields(lines, len(names), o, delimiter, places)
     cells = fields.select(*LINE, *[blank_nulls(F.col(f"c{i}"), o.null_tokens).alias(f"c{i}") for i in range(len(names))])
 
     wanted = [i for i, n in enumerate(names) if o.columns is None or n in o.columns]
-    types = {names[i]: ColumnType(o.types[names[i]]) for i in wanted if names[i] in o.types}
+    fixed = {n: t if isinstance(t, ColumnType) else ColumnType(t) for n, t in o.types.items()}
+    types = {names[i]: fixed[names[i]] for i in wanted if names[i] in fixed}
     open_columns = [i for i in wanted if names[i] not in types]
     if open_columns:
-        sample = cells.limit(o.sample_rows) if o.sample_rows else cells
-        found = infer_types(sample.select(*[f"c{i}" for i in open_columns]), [names[i] for i in open_columns], o.kinds)
+        found = infer_types(cells.select(*[f"c{i}" for i in open_columns]), [names[i] for i in open_columns], o.kinds)
         types |= {names[i]: found[f"c{i}"] for i in open_columns}
 
     def column(i):
         kind = types[names[i]].kind
-        value = convert(F.col(f"c{i}"), kind)
+        value = convert(F.col(f"c{i}"), kind, types[names[i]].order)
         if kind == "text" and o.text_null_as_empty:
             value = F.coalesce(value, F.lit(""))
         return value.alias(names[i])
@@ -216,7 +257,7 @@ def check_field_count(spark: SparkSession, path: str, expected: int, options: Cs
     delimiter = o.delimiter or infer_delimiter(head[-1]["value"] if head else "")
     lines = read_lines(spark, path)
     if header_row >= 0:
-        lines = _after_header(lines, head, header_row)
+        lines, _ = _after_header(lines, head, header_row)
     bad = _rejects(lines, expected, o, delimiter).filter("reason = 'field count'")
     facts = bad.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*LINE, "value")).alias("first")).first()
     if facts["n"]:

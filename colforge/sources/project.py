@@ -27,18 +27,14 @@ class Project:
         return f"{self.folder}/{name}"
 
     def _stored(self) -> list[str]:
-        """Names of the Parquet tables in the folder (one level down)."""
-        found = list_files(self.spark, f"{self.folder}/*/", "*.parquet") if self._exists() else []
-        return sorted({p.rsplit("/", 2)[-2] for p in found})
-
-    def _exists(self) -> bool:
-        try:
-            self.spark.read.format("binaryFile").load(f"{self.folder}/*/").select("path").limit(1).collect()
-        except Exception as e:  # a new project has no folder yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return False
-        return True
+        """Names of the folders one level down, partitioned tables or not; part files are not listed."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        if not system.exists(path):  # a new project has no folder yet
+            return []
+        names = [s.getPath().getName() for s in system.listStatus(path) if s.isDirectory()]
+        return sorted(n for n in names if not n.startswith(("_", ".")))
 
     def open(self) -> list[str]:
         """Register every stored table. A table that cannot be read is logged and left out."""

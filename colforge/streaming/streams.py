@@ -6,6 +6,8 @@ Relative bins, shares, z-scores, dense global ids and group signatures need the
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,7 +94,10 @@ def keyed_running(stream: DataFrame, value: str, *, keys: Sequence[str], order_b
         scan = OrderedScan(batch, order_by, keys)
         rows = scan.add({"__prev": Previous(F.struct(value)), "__sum": RunningSum(F.col(value), "total")})
         if previous is not None:
-            rows = rows.join(previous, keys, "left")
+            # A NULL key is a key like any other, so that its delta and total go on too.
+            named = previous.withColumnsRenamed({k: f"__key{i}" for i, k in enumerate(keys)})
+            same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)))
+            rows = rows.join(named, same, "left").drop(*(f"__key{i}" for i in range(len(keys))))
             last, before = F.col("__last"), F.coalesce(F.col("__total"), F.lit(0))
         else:
             last, before = F.lit(None).cast(batch.schema[value].dataType), F.lit(0)
