@@ -73,7 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     `edges` has two long columns `a`, `b` without nulls. Alternating star contraction: each node's neighbours
     are hung on the smallest one, first the larger neighbours, then the smaller ones. Every round is a minimum
-    per node (partial aggregates, so a node with a third of all edges is no hot task) and a join that adaptive
+    per node (partial aggregates, so a node with a third of all edges is no hot task) and joins that adaptive
     execution may split; the number of rounds grows with the logarithm of the longest path. Each round is written
     to the shared folder, so that a lost executor costs its tasks only.
     """
@@ -83,7 +83,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = materialize(hung.where("a <> b").distinct())

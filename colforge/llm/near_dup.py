@@ -7,12 +7,13 @@ variables)), so two sketches merge by the larger register and equal registers ar
 1. One pass over the texts makes sketches and a 128-bit signature of each set. Equal sets form a class under their
    smallest doc_id; only classes go on.
 2. Bands of ROWS registers are hashed; classes that share a band are candidates. A band can hold any number of classes,
-   so their pairs are never listed. Each round compares the members of a band with one pivot, keeps each member's most
-   similar pivot whose estimate may reach the threshold, and verifies that pair. Verified links are joined to
-   components, and members in their pivot's component need no further comparison.
-3. What is still in different components after the rounds is compared completely, sketch against sketch, in blocks of
-   bounded size: members outside the largest component of their group against all members. Only pairs whose estimate
-   may reach the threshold leave the block, and each of these is verified on the full sets.
+   so their pairs are never listed: its members are compared with PIVOTS of them, and each member keeps, per pivot
+   order, the most similar pivot whose estimate may reach the threshold. These pairs are verified on the full sets and
+   joined to components. Members in one component need no further comparison.
+3. Groups tied by bands that still hold several components are compared completely, sketch against sketch, in blocks of
+   bounded size: members outside the group's largest component against all members. Within a block the pairs that may
+   reach the threshold are verified on the full sets, most similar first; pairs that verified links of the block already
+   join are passed over. A block returns at most one link per member, whatever the number of similar pairs.
 
 The estimate maximises the joint likelihood of larger, smaller and equal registers given both set sizes. A pair is put
 aside when it lies MARGIN (over four standard deviations) below the threshold; with BANDS x ROWS registers a pair at
@@ -24,8 +25,6 @@ null doc_id are not compared: their component is null and they are kept. An empt
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,8 +37,9 @@ ROWS, BANDS = 6, 42
 REGISTERS = ROWS * BANDS
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 2
 MARGIN = 0.11
-PIVOT_ROUNDS = 3
+PIVOTS = 2
 BLOCK = 2048
+BLOCK_BYTES = 12 << 20
 # Rows of one array of hashes that are held at a time, times REGISTERS.
 HASHED_AT_ONCE = 1024
 
@@ -141,58 +141,88 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(by_batch(check), "a long, b long")
 
 
-def _pivot_pairs(members: DataFrame, classes: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """(a, b): each member with the most similar pivot of its bands that lies in another component."""
-    order = F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "label")
-    pivots = members.groupBy("band").agg(F.min(order).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
-    pivots = pivots.where("low < high").select("band", F.col("p.doc_id").alias("b"), F.col("p.label").alias("other"))
-    pairs = members.join(pivots, "band").where("label <> other").select(F.col("doc_id").alias("a"), "b").distinct()
+def _pivot_pairs(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each member with the most similar pivot of its bands, for each of PIVOTS orders of the classes."""
+    first = [F.min(F.struct(F.xxhash64("doc_id", F.lit(t)), "doc_id")).alias(f"p{t}") for t in range(PIVOTS)]
+    pivots = members.groupBy("band").agg(*first)
+    turns = F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), F.col(f"p{t}.doc_id").alias("b")) for t in range(PIVOTS)])).alias("p")
+    pairs = members.join(pivots, "band").select(F.col("doc_id").alias("a"), turns).select("a", "p.turn", "p.b").where("a <> b").distinct()
     pairs = pairs.join(classes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     pairs = pairs.join(classes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
 
     def compare(batch: pa.RecordBatch):
-        a, b, sa, sb = (batch.column(k) for k in range(4))
-        guess, near = _similar(_sketches(sa), _sketches(sb), batch.column(4).to_numpy(), batch.column(5).to_numpy(), threshold)
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(guess)], names=["a", "b", "guess"]).filter(pa.array(near))
+        a, turn, b, sa, sb, na, nb = batch.columns
+        guess, near = _similar(_sketches(sa), _sketches(sb), na.to_numpy(), nb.to_numpy(), threshold)
+        yield pa.RecordBatch.from_arrays([a, turn, b, pa.array(guess)], names=["a", "turn", "b", "guess"]).filter(pa.array(near))
+
+    near = pairs.select("a", "turn", "b", "sa", "sb", "na", "nb").mapInArrow(by_batch(compare), "a long, turn int, b long, guess double")
+    best = near.groupBy("a", "turn").agg(F.max_by("b", F.struct("guess", "b")).alias("b"))
+    return best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+class _Joined:
+    """Which labels of a block its links have joined."""
 
-    near = pairs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(by_batch(compare), "a long, b long, guess double")
-    return near.groupBy("a").agg(F.max_by("b", F.struct("guess", "b")).alias("b"))
+    def __init__(self):
+        self._up: dict[int, int] = {}
 
+    def root(self, label: int) -> int:
+        while (up := self._up.get(label, label)) != label:
+            self._up[label] = self._up.get(up, up)
+            label = up
+        return label
 
-def _remaining_pairs(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all pairs across components, within groups of classes tied by bands, that may reach the threshold."""
+    def join(self, a: int, b: int) -> None:
+        self._up[self.root(a)] = self.root(b)
+
+
+def _remaining_links(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame | None:
+    """(a, b): verified links that join all components which a complete comparison joins; None when no band is mixed."""
     mixed = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc_id").alias("least")).where("low < high")
     open_members = materialize(members.join(mixed.select("band", "least"), "band").select("doc_id", "label", "least"))
+    if open_members.isEmpty():
+        return None
     groups = components(open_members.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
-    rows = open_members.select("doc_id", "label").distinct().join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
+    rows = open_members.select("doc_id", "label").distinct().join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "doc_id")
     rows = rows.join(classes.select("doc_id", "n", "sketch"), "doc_id")
-    rows = materialize(rows.withColumnRenamed("component", "grp"))
-    largest = rows.groupBy("grp", "label").agg(F.count("*").alias("c"))
-    largest = largest.groupBy("grp").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("c"))
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    rows = rows.join(largest.withColumn("rest", F.col("all") - F.col("c")).select("grp", "main", "all", "rest"), "grp")
-    own = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    columns = ["doc_id", "label", "n", "sketch", (F.col("label") == F.col("main")).alias("is_main")]
-    left = rows.select("grp", own("all").alias("i"), each("rest").alias("j"), *columns)
-    right = rows.where("label <> main").select("grp", each("all").alias("i"), own("rest").alias("j"), *columns)
+    rows = materialize(rows.join(sets.select("doc_id", "items"), "doc_id"))
+    largest = rows.groupBy("grp", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    largest = largest.groupBy("grp").agg(F.max(F.struct("c", "label", "w")).alias("m"), F.sum("c").alias("all"), F.sum("w").alias("weight"))
+    largest = largest.select("grp", F.col("m.label").alias("main"), "all", "weight", (F.col("all") - F.col("m.c")).alias("rest"), (F.col("weight") - F.col("m.w")).alias("rest_weight"))
+    # Blocks are bounded by members and by the bytes of their sets.
+    blocks = lambda n, w: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(w) * 8 / BLOCK_BYTES)).cast("int")
+    rows = rows.join(largest, "grp")
+    own = lambda n, w: F.pmod(F.xxhash64("doc_id"), blocks(n, w)).cast("int")
+    each = lambda n, w: F.explode(F.sequence(F.lit(0), blocks(n, w) - 1))
+    columns = ["doc_id", "label", "n", "sketch", "items", (F.col("label") == F.col("main")).alias("is_main")]
+    left = rows.where("rest > 0").select("grp", own("all", "weight").alias("i"), each("rest", "rest_weight").alias("j"), *columns)
+    right = rows.where("label <> main").select("grp", each("all", "weight").alias("i"), own("rest", "rest_weight").alias("j"), *columns)
+    right = right.toDF(*right.columns)  # columns of its own: both sides come from the same rows
 
     def compare(_key, ours: pa.Table, probes: pa.Table) -> pa.Table:
-        a, b = [], []
+        a, b, joined = [], [], _Joined()
         if ours.num_rows and probes.num_rows:
             ids, label, n, main = (ours[c].to_numpy() for c in ("doc_id", "label", "n", "is_main"))
-            all_sketches = _sketches(ours["sketch"])
-            for doc, lab, size, data in zip(*(probes[c].to_pylist() for c in ("doc_id", "label", "n", "sketch"))):
+            all_sketches, items = _sketches(ours["sketch"]), ours["items"]
+            for doc, lab, size, data, own in zip(*(probes[c].to_pylist() for c in ("doc_id", "label", "n", "sketch", "items"))):
                 # Two members outside the largest component would meet twice.
                 at = np.flatnonzero((label != lab) & (main | (ids < doc)) & (np.minimum(n, size) >= threshold * np.maximum(n, size) - 1e-6))
-                if len(at):
-                    one = np.frombuffer(data, "<u2")
-                    _, near = _similar(all_sketches[at], one, n[at], np.full(len(at), size), threshold)
-                    b += ids[at[near]].tolist()
-                    a += [doc] * int(near.sum())
+                if not len(at):
+                    continue
+                guess, near = _similar(all_sketches[at], np.frombuffer(data, "<u2"), n[at], np.full(len(at), size), threshold)
+                at, guess = at[near], guess[near]
+                own = np.frombuffer(own, np.uint64)
+                for k in at[np.argsort(-guess, kind="stable")].tolist():
+                    if joined.root(int(label[k])) == joined.root(lab):
+                        continue
+                    other = np.frombuffer(items[k].as_py(), np.uint64)
+                    common = len(np.intersect1d(own, other, assume_unique=True))
+                    if 100 * common >= percent * (len(own) + len(other) - common):
+                        joined.join(int(label[k]), lab)
+                        a.append(doc)
+                        b.append(int(ids[k]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    right = right.toDF(*right.columns)  # columns of its own: both sides come from the same rows
     return left.groupBy("grp", "i", "j").cogroup(right.groupBy("grp", "i", "j")).applyInArrow(compare, "a long, b long")
 
 
@@ -223,19 +253,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(candidates, "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(by_batch(full), "doc_id long, items binary").where("length(items) > 0"))
 
-    links, labels = [], None
-    for turn in range(PIVOT_ROUNDS + 1):
-        labelled = members.withColumn("label", F.col("doc_id"))
-        if labels is not None:
-            named = labels.withColumnRenamed("node", "doc_id")
-            labelled = members.join(named, "doc_id", "left").select("doc_id", "band", F.coalesce("component", "doc_id").alias("label"))
-        labelled = materialize(labelled)
-        pairs = _pivot_pairs(labelled, classes, turn, threshold) if turn < PIVOT_ROUNDS else _remaining_pairs(labelled, classes, threshold)
-        found = materialize(_verify(pairs, sets, percent))
-        links.append(found)
-        if found.isEmpty() and turn < PIVOT_ROUNDS:
-            continue
-        labels = components(reduce(DataFrame.unionByName, links).distinct())
+    links = materialize(_verify(_pivot_pairs(members, classes, threshold), sets, percent))
+    labels = components(links)
+    named = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    labelled = materialize(members.join(named, "doc_id", "left").select("doc_id", "band", F.coalesce("label", "doc_id").alias("label")))
+    more = _remaining_links(labelled, classes, sets, threshold, percent)
+    if more is not None:
+        more = materialize(more)
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
 
     by_set = ["n", "s1", "s2"]
     named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*by_set, F.coalesce("component", "doc_id").alias("component_id"))

@@ -72,9 +72,9 @@ def test_components_equal_brute_force(spark, size, monkeypatch):
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
-def test_pivots_alone_leave_work_for_the_blocks(spark, monkeypatch):
-    """Without any pivot round the complete comparison finds the same components."""
-    monkeypatch.setattr(near_dup, "PIVOT_ROUNDS", 0)
+def test_blocks_alone_find_everything(spark, monkeypatch):
+    """When no pivot pair is ever verified the complete comparison finds the same components."""
+    monkeypatch.setattr(near_dup, "_verify", lambda pairs, sets, percent: pairs.where("a < 0"))
     monkeypatch.setattr(near_dup, "BLOCK", 30)
     rows = copies(60, 8)
     df = spark.createDataFrame(rows, "doc_id long, text string")
