@@ -124,10 +124,11 @@ def _after_header(lines: DataFrame, head: list, header_row: int) -> tuple[DataFr
         below = lines.filter((F.col("__block") > 0) | (F.col("__line") > header_row))
         return below.withColumn("__layout", F.lit(0)), [head[-1]["value"]]
     heads = materialize(_headers(lines, header_row))
-    known = [r[0] for r in heads.select("__header").distinct().limit(LAYOUTS + 1).collect()]
-    if len(known) > LAYOUTS:
+    found = heads.groupBy("__header").count().limit(LAYOUTS + 1).collect()
+    if len(found) > LAYOUTS:
         raise ValueError(f"the files have more than {LAYOUTS} different headers")
-    known.sort(key=lambda h: (h is None, h or ""))
+    # The header of most files comes first.
+    known = [h for h, _ in sorted(found, key=lambda r: (r[0] is None, -r[1], r[0] or ""))]
     layout = F.coalesce(*[F.when(F.col("__header").eqNullSafe(F.lit(h)), F.lit(i)) for i, h in enumerate(known)])
     # Broadcast while it is small; beyond that the join is left to adaptive execution, which splits a very large file.
     joined = lines.join(broadcast_if_small(heads.select("__file", "__cut", layout.alias("__layout"))), "__file", "left")
@@ -157,6 +158,7 @@ def _fields(n: int, delimiter: str, quotes: bool) -> Column:
         "ignoreLeadingWhiteSpace": "true",
         "ignoreTrailingWhiteSpace": "true",
         "quote": '"' if quotes else "\0",
+        "escape": '"' if quotes else "\0",
         "emptyValue": "",
         "nullValue": "\0",
         "maxCharsPerColumn": "-1",
@@ -198,8 +200,8 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
     """Read a file, or a folder of files with the same columns, into typed columns.
 
     Blank lines, comments and lines with a wrong field count are left out and listed in `rejects`. Columns are found
-    by name in every file of a folder, whatever their order; lines of a file with other columns are rejected for its
-    header. The driver sees the first lines, the distinct headers and one row of facts (for the types).
+    by name in every file of a folder, whatever their order; the header of most files names them, and lines of a file
+    with other columns are rejected for its header. The driver sees the first lines, the distinct headers and one row of facts (for the types).
     """
     o = options or CsvOptions()
     header_row = -1 if o.header_row is None else o.header_row
@@ -207,6 +209,10 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
     if len(head) <= header_row:
         raise ValueError(f"the file has only {len(head)} lines, no header at line {header_row}")
     first = head[-1]["value"] if head else ""
+    lines = read_lines(spark, path)
+    if header_row >= 0:
+        lines, headers = _after_header(lines, head, header_row)
+        first = headers[0] or ""
     delimiter = o.delimiter or infer_delimiter(first)
     cells = split_line(first, delimiter, o.quotes)
     names = unique_names(cells) if header_row >= 0 else [f"col_{i}" for i in range(len(cells))]
@@ -214,9 +220,7 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
     if unknown:
         raise ValueError(f"no such column in the file: {', '.join(unknown)}; found {', '.join(names)}")
 
-    lines = read_lines(spark, path)
     if header_row >= 0:
-        lines, headers = _after_header(lines, head, header_row)
         places = _places(names, headers, delimiter, o.quotes)
     else:
         lines, places = lines.withColumn("__layout", F.lit(0)), [list(range(len(names)))]
