@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,11 +106,19 @@ def systematic_sample(df: DataFrame, size: int = 5000, *, order_by) -> DataFrame
     """Every step-th row in order, `step = max(1, rows // size)`, at most `size` rows."""
     if size < 1:
         raise ValueError("size must be positive")
-    rows = df.count()
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    narrow = df.select(*dict.fromkeys(keys))
+    rows = narrow.count()
     step = max(1, rows // size)
-    numbered = OrderedScan(df, order_by, rows=rows).add({"__i": RowIndex()})
-    picked = (F.col("__i") % step == 0) & (F.col("__i") < step * size)
-    return numbered.filter(picked).drop("__i")
+    # Only the keys are put in order; the at most `size` picked ones bring their rows, and equal keys no more than were picked.
+    numbered = OrderedScan(narrow, keys, rows=rows).add({"__i": RowIndex()})
+    picked = numbered.filter((F.col("__i") % step == 0) & (F.col("__i") < step * size))
+    names = {k: f"__k{i}" for i, k in enumerate(narrow.columns)}
+    wanted = picked.groupBy(*narrow.columns).agg(F.count("*").alias("__n")).withColumnsRenamed(names)
+    same = reduce(and_, (df[k].eqNullSafe(F.col(n)) for k, n in names.items()))
+    found = df.join(F.broadcast(wanted), same)
+    turn = F.row_number().over(Window.partitionBy(*names.values()).orderBy(*names.values()))
+    return found.withColumn("__turn", turn).filter("__turn <= __n").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def category_codes(df: DataFrame, column: str, out: str | None = None, *, order_by) -> DataFrame:

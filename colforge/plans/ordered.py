@@ -122,7 +122,6 @@ class Previous:
             summary={f"{p}last": F.max_by(f"{p}cell", F.when(F.col(f"{p}cell").isNotNull(), scan.key))},
             carry=[{f"{p}before": F.last(f"{p}last", ignorenulls=True).over(scan.earlier_buckets)}],
             carried=[f"{p}before"],
-            ordered_summary=True,
         )
 
     def result(self, p: str, scan: OrderedScan) -> Column:
@@ -350,9 +349,8 @@ class OrderedScan:
         return df if self.plain else df.withColumn(BUCKET, self.bucket())
 
     def _join(self, rows: DataFrame, summary: DataFrame) -> DataFrame:
-        """Attach per-bucket columns. Without keys there is one row of fixed width per bucket."""
-        if not self.partition_by:
-            return rows.join(F.broadcast(summary), BUCKET, "left")
+        """Attach per-bucket columns. They may be as wide as the user's values, so they are placed like the rows, which
+        stay where they are; adaptive execution broadcasts them where they turn out small."""
         renamed = summary.select(
             *[F.col(c).alias(f"__r_{c}") if c in self._group else F.col(c) for c in summary.columns]
         )
