@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colforge import query as q
@@ -69,8 +70,10 @@ sql(
     "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS t, CAST(trunc(o_totalprice) AS INTEGER) AS i, try_cast(substr(o_orderpriority, 1, 1) AS INTEGER) AS p, try_cast(o_orderpriority AS INTEGER) AS bad FROM orders",
 )
 sql("sql_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
-sql("sql_order_nulls", f"SELECT event_id, c FROM {EVN} ORDER BY c ASC NULLS FIRST, event_id DESC LIMIT 40")
-sql("sql_order_nulls_last", f"SELECT event_id, c FROM {EVN} ORDER BY c DESC NULLS LAST, event_id LIMIT 40")
+sql("sql_order_nulls", f"SELECT event_id, c, row_number() OVER (PARTITION BY user_id ORDER BY c ASC NULLS FIRST, event_id DESC) AS place FROM {EVN}",
+    f"SELECT event_id, c, CAST(row_number() OVER (PARTITION BY user_id ORDER BY c ASC NULLS FIRST, event_id DESC) AS INT) AS place FROM {EVN}")
+sql("sql_order_nulls_last", f"SELECT event_id, c, row_number() OVER (PARTITION BY user_id ORDER BY c DESC NULLS LAST, event_id) AS place FROM {EVN}",
+    f"SELECT event_id, c, CAST(row_number() OVER (PARTITION BY user_id ORDER BY c DESC NULLS LAST, event_id) AS INT) AS place FROM {EVN}")
 sql("sql_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25")
 sql("sql_limit_offset", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20")
 sql("sql_derived_table", "SELECT count(*) AS total FROM (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey) AS t WHERE n > 2")
@@ -250,9 +253,20 @@ def _(spark, d):
     return q.filter_rows(table(spark, d, "orders"), tests).select("o_orderkey")
 
 
-@query("guided_sort", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 30")
+@query("guided_sort", "SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS INT) AS place FROM orders")
 def _(spark, d):
-    return q.sort_rows(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["-o_totalprice", "o_orderkey"]).limit(30)
+    """The whole table in order; what is compared is each order's place among those of its customer."""
+    rows = q.sort_rows(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["-o_totalprice", "o_orderkey"])
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("__at"))
+    return rows.withColumn("__at", F.monotonically_increasing_id()).select("o_orderkey", "o_totalprice", place.alias("place"))
+
+
+@query("page_after", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate > '1995-03-01' OR (o_orderdate = '1995-03-01' AND o_orderkey > 100) ORDER BY o_orderdate, o_orderkey LIMIT 25")
+def _(spark, d):
+    """The page behind a given row, however deep it lies."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    after = [F.lit("1995-03-01").cast(rows.schema["o_orderdate"].dataType), 100]
+    return q.page_after(rows, ["o_orderdate", "o_orderkey"], after, 25)
 
 
 @query(

@@ -54,6 +54,26 @@ def page_rows(df: DataFrame, page: int, page_size: int, order_by: Sequence[str |
     return df.offset(page * page_size).limit(page_size)
 
 
+def page_after(df: DataFrame, order_by: Sequence[str], after: Sequence | None, page_size: int) -> DataFrame:
+    """The `page_size` rows that follow the row with the key values `after` (None: the first page), NULLs first.
+
+    The comparison reaches the scan and only `page_size` rows per task are kept, so deep pages cost no more than the first.
+    `order_by` has to be unique, else rows equal to the last one of a page are passed over.
+    """
+    if page_size < 1:
+        raise ValueError("page_size counts from 1")
+    if after is not None:
+        if len(after) != len(order_by):
+            raise ValueError("one value per key column")
+        later, equal = F.lit(False), F.lit(True)
+        for name, value in zip(order_by, after):
+            c, v = F.col(name), F.lit(value)
+            beyond = F.when(v.isNull(), c.isNotNull()).otherwise(F.coalesce(c > v, F.lit(False)))
+            later, equal = later | (equal & beyond), equal & c.eqNullSafe(v)
+        df = df.filter(later)
+    return df.orderBy(*order_by).limit(page_size)
+
+
 def paginate(df: DataFrame, page: int, page_size: int, order_by: Sequence[str | Column] = ()) -> Page:
     """A page together with the row count of the whole result."""
     return Page(page_rows(df, page, page_size, order_by), page, page_size, df.count())
