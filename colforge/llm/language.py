@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from colforge.llm.common import prepare
 
-SAMPLE_DOCUMENTS = 1600
+SAMPLE_DOCUMENTS = 800
 BUCKETS = 1 << 13
 GRAMS = (2, 3, 4)
 PART_BYTES = 1 << 20
@@ -145,13 +145,18 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE_DOCUMENTS) -> La
     names = sorted(set(labels))
     if not names:
         return None
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).astype(np.float32).reshape(len(labels), BUCKETS)
-    order = np.lexsort((x[:, 0], [names.index(a) for a in labels]))  # the same sum order whatever task ended first
-    y = np.array([names.index(a) for a in labels])[order]
+    # One copy of the numbers, in an order that does not depend on which task ended first.
+    held = got["x"].combine_chunks()
+    order = sorted(range(len(labels)), key=lambda k: (labels[k], held[k].as_buffer().to_pybytes()[:64]))
+    x = np.empty((len(labels), BUCKETS), np.float32)
+    for row, k in enumerate(order):
+        x[row] = np.frombuffer(held[k].as_buffer(), np.float16)
+    y = np.array([names.index(labels[k]) for k in order])
+    del got, held
     codes = codewords(len(names))
     if codes.shape[1] == 0:
         return LanguageModel(names, codes, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(0))
-    return LanguageModel(names, codes, *_fit(x[order], y, codes))
+    return LanguageModel(names, codes, *_fit(x, y, codes))
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
