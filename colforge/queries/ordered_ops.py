@@ -430,3 +430,33 @@ def _(spark, d):
 def _(spark, d):
     df = groups.add_groups(table(spark, d, "events"), groups.value_change("event_type"), order_by=ORDER)
     return groups.group_statistics(df, "group_id").withColumn("avg_size", rounded("avg_size"))
+
+
+# --- the largest table ----------------------------------------------------------------------------
+
+LINES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+LW = f"(ORDER BY {', '.join(LINES)})"
+LQ = f"SELECT {', '.join(LINES)}, CAST(l_quantity AS BIGINT) AS q, l_returnflag FROM lineitem"
+
+
+def lines(spark, d):
+    return table(spark, d, "lineitem").select(*LINES, F.col("l_quantity").cast("long").alias("q"), "l_returnflag")
+
+
+@query("lines_delta", f"SELECT {', '.join(LINES)}, q - lag(q) OVER {LW} AS d FROM ({LQ})")
+def _(spark, d):
+    return computed.delta(lines(spark, d), "q", "d", order_by=LINES).select(*LINES, "d")
+
+
+@query("lines_total", f"SELECT {', '.join(LINES)}, CAST(sum(q) OVER ({LW[1:-1]} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM ({LQ})")
+def _(spark, d):
+    return computed.cumulative_sum(lines(spark, d), "q", "total", order_by=LINES).select(*LINES, "total")
+
+
+@query(
+    "lines_flag_runs",
+    f"""SELECT {', '.join(LINES)}, CAST(sum(f) OVER ({LW[1:-1]} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS g FROM (
+      SELECT *, CASE WHEN l_returnflag <> lag(l_returnflag) OVER {LW} THEN 1 ELSE 0 END AS f FROM ({LQ}))""",
+)
+def _(spark, d):
+    return groups.add_groups(lines(spark, d), groups.value_change("l_returnflag", "g"), order_by=LINES).select(*LINES, "g")
