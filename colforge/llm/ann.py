@@ -29,7 +29,7 @@ from colforge.llm.common import materialize, prepare
 LINKS = 12
 LINKS_BELOW = 24
 BUILD_BREADTH = 64
-BREADTH = 128
+BREADTH = 256
 SHARD_ROWS = 16384
 QUERY_BLOCK = 2048
 
