@@ -117,9 +117,9 @@ def _headers(lines: DataFrame, header_row: int) -> DataFrame:
     return ranked.groupBy("__file").agg(F.max("__line").alias("__cut"), header.alias("__header"))
 
 
-def _after_header(lines: DataFrame, head: list, header_row: int) -> tuple[DataFrame, list[str | None]]:
+def _after_header(lines: DataFrame, path: str, head: list, header_row: int) -> tuple[DataFrame, list[str | None]]:
     """The lines below the header of every file, with `__layout`: the place of the file's header among the distinct ones."""
-    if len(head) == header_row + 1 and all(r["__block"] == 0 and r["__line"] == i for i, r in enumerate(head)) and _one_file(lines):
+    if len(head) == header_row + 1 and all(r["__block"] == 0 and r["__line"] == i for i, r in enumerate(head)) and _is_file(lines.sparkSession, path):
         # One file: its first split is the first task, so the line number is the line's position.
         below = lines.filter((F.col("__block") > 0) | (F.col("__line") > header_row))
         return below.withColumn("__layout", F.lit(0)), [head[-1]["value"]]
@@ -135,8 +135,12 @@ def _after_header(lines: DataFrame, head: list, header_row: int) -> tuple[DataFr
     return joined.filter((F.col("__block") > 0) | (F.col("__line") > F.col("__cut"))).drop("__cut"), known
 
 
-def _one_file(lines: DataFrame) -> bool:
-    return len(lines.select("__file").distinct().limit(2).collect()) == 1
+def _is_file(spark: SparkSession, path: str) -> bool:
+    """True for a single file; folders and patterns are not looked into."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(context._jsc.hadoopConfiguration())
+    return system.exists(place) and system.getFileStatus(place).isFile()
 
 
 def _places(names: list[str], headers: list[str | None], delimiter: str, quotes: bool) -> list[list[int] | None]:
@@ -211,7 +215,7 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
     first = head[-1]["value"] if head else ""
     lines = read_lines(spark, path)
     if header_row >= 0:
-        lines, headers = _after_header(lines, head, header_row)
+        lines, headers = _after_header(lines, path, head, header_row)
         first = headers[0] or ""
     delimiter = o.delimiter or infer_delimiter(first)
     cells = split_line(first, delimiter, o.quotes)
@@ -261,7 +265,7 @@ def check_field_count(spark: SparkSession, path: str, expected: int, options: Cs
     delimiter = o.delimiter or infer_delimiter(head[-1]["value"] if head else "")
     lines = read_lines(spark, path)
     if header_row >= 0:
-        lines, _ = _after_header(lines, head, header_row)
+        lines, _ = _after_header(lines, path, head, header_row)
     bad = _rejects(lines, expected, o, delimiter).filter("reason = 'field count'")
     facts = bad.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*LINE, "value")).alias("first")).first()
     if facts["n"]:
