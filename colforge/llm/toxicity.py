@@ -6,7 +6,8 @@ kept term a weight and a vector, and adds the vectors' products for each pair of
 together can mean more than the sum of both.
 
 Learning takes at most SAMPLE_DOCUMENTS labelled rows per class (chosen by a hash of doc_id) and at most TERMS terms;
-term counts are made in Spark. Scoring reads every text whole, in place, without a shuffle. A null text is empty; it and
+term counts are made in Spark. The classes of all labelled rows are counted, and the bias is moved from the odds of the
+sample to theirs, so that a larger table does not shift the scores. Scoring reads every text whole, in place, without a shuffle. A null text is empty; it and
 texts without any kept term get the score of the bias. Without labelled rows of both classes the score is the known
 class (0 without any). Several labels of one document count as toxic if one of them is; rows with null ids or labels
 teach nothing. Rows with equal or null doc_id are each scored for themselves.
@@ -124,7 +125,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
     """Learn from `docs` (doc_id, text) and `labels` (doc_id, toxic)."""
     spark = prepare(docs.sparkSession)
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    ids = docs.select("doc_id").join(marked, "doc_id").distinct().withColumn("k", F.xxhash64("doc_id"))
+    # All labelled documents with their rows: the classes are sampled each for itself, so the prior is theirs.
+    ids = materialize(docs.select("doc_id").join(marked, "doc_id").groupBy("doc_id", "toxic").agg(F.count("*").alias("rows")))
+    every = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.sum("rows").alias("n")).collect()}
+    ids = ids.withColumn("k", F.xxhash64("doc_id"))
     chosen = [ids.where(F.col("toxic") == c).orderBy("k", "doc_id").limit(sample).select("doc_id", "toxic") for c in (0, 1)]
     chosen = F.broadcast(materialize(chosen[0].unionByName(chosen[1])))  # at most 2 * sample rows
 
@@ -155,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
 
     rows = found.mapInArrow(by_batch(narrow), "doc_id long, toxic int, at array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     at = [np.array(r, np.int64) for r in rows["at"].to_pylist()]
-    return FactorizationMachine(terms, *_fit(at, rows["toxic"].to_numpy().astype(np.float32), len(terms)))
+    bias, weights, vectors = _fit(at, rows["toxic"].to_numpy().astype(np.float32), len(terms))
+    return FactorizationMachine(terms, bias - float(np.log((n1 / n0) / (every[1] / every[0]))), weights, vectors)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, name: str = "toxicity") -> DataFrame:

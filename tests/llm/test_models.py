@@ -101,6 +101,23 @@ def test_toxicity_learns_a_pair_of_terms(spark):
     assert by_id[9002] >= 0.5
 
 
+def test_a_larger_label_table_gives_the_same_decisions(spark):
+    """Texts that are toxic in three of ten cases pass, however many labelled rows the sample leaves out."""
+    rows, labels = [], []
+    for k in range(400):
+        kind = "vile" if k % 20 == 0 else "heated" if k % 4 == 1 else "calm"
+        rows.append((k, f"{kind} words here"))
+        labels.append((k, int(kind == "vile" or kind == "heated" and k // 4 % 10 < 3)))
+    small, few = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    large = spark.createDataFrame([(k + 1000 * c, t) for k, t in rows for c in range(10)], small.schema)
+    many = spark.createDataFrame([(k + 1000 * c, t) for k, t in labels for c in range(10)], few.schema)
+    got = []
+    for docs, marks in ((small, few), (large, many)):
+        scored = toxicity.score(small, toxicity.train(docs, marks, sample=400)).collect()
+        got.append({r.doc_id: r.toxicity >= 0.5 for r in scored})
+    assert got[0] == got[1] == {k: t.startswith("vile") for k, t in rows}
+
+
 def test_toxicity_without_labels(spark):
     rows, labels = toxic_rows(30)
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
