@@ -1,14 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the words of the whole lower-cased text and their beginnings of 3 to 6 characters (endings vary), hashed to 64
-bits. Training keeps the terms that tell the labels apart, and the most common ones as context; the machine gives every
-kept term a weight and a vector, and adds the vectors' products for each pair of terms in a text, so that two terms
+Terms are the words of the whole lower-cased text and their beginnings of 3 to 6 characters (endings vary), hashed into
+a table of SLOTS places. Every term of the sample is trained, however rare and whatever it tells alone: the machine gives
+each place a weight and a vector, and adds the vectors' products for each pair of terms in a text, so that two terms
 together can mean more than the sum of both.
 
-Learning takes at most SAMPLE_DOCUMENTS labelled rows per class (chosen by a hash of doc_id) and at most TERMS terms;
-term counts are made in Spark. The classes of all labelled rows are counted, and the bias is moved from the odds of the
-sample to theirs, so that a larger table does not shift the scores. Scoring reads every text whole, in place, without a shuffle. A null text is empty; it and
-texts without any kept term get the score of the bias. Without labelled rows of both classes the score is the known
+Learning takes at most SAMPLE_DOCUMENTS labelled rows per class (chosen by a hash of doc_id); the driver holds four bytes
+per distinct term of each of them, and steps touch only the places of their texts. The classes of all labelled rows are
+counted, and the bias is moved from the odds of the sample to theirs, so that a larger table does not shift the scores.
+Scoring reads every text whole, in place, without a shuffle. A null text is empty; it and
+texts without any trained term get the score of the bias. Without labelled rows of both classes the score is the known
 class (0 without any). Several labels of one document count as toxic if one of them is; rows with null ids or labels
 teach nothing. Rows with equal or null doc_id are each scored for themselves.
 """
@@ -21,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +30,9 @@ from pyspark.sql import functions as F
 from colforge.llm.common import by_batch, materialize, prepare
 
 SAMPLE_DOCUMENTS = 4000
-TERMS = 2048
-CONTEXT_TERMS = 128
+SLOTS = 1 << 18
 FACTORS = 8
 BEGINNINGS = (3, 4, 5, 6)
-LEAST_DOCUMENTS = 3
-LEAST_SIGNAL = 4.0
 CACHED_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -52,10 +51,13 @@ def words_of(text: str | None) -> set[str]:
 
 @dataclass
 class FactorizationMachine:
+    """`terms` are hashes, or places of a table of `slots` that hashes are folded to."""
+
     terms: list[int]
     bias: float
     weights: np.ndarray
     vectors: np.ndarray
+    slots: int = 0
     place: dict[int, int] = field(init=False)
     _known: dict[str, tuple[int, ...]] = field(init=False, default_factory=dict)
 
@@ -63,22 +65,23 @@ class FactorizationMachine:
         self.place = {t: k for k, t in enumerate(self.terms)}
 
     def __getstate__(self):
-        return self.terms, self.bias, self.weights, self.vectors
+        return self.terms, self.bias, self.weights, self.vectors, self.slots
 
     def __setstate__(self, state):
-        self.terms, self.bias, self.weights, self.vectors = state
+        self.terms, self.bias, self.weights, self.vectors, self.slots = state
         self._known = {}
         self.__post_init__()
 
     def active(self, text: str | None) -> list[int]:
-        """Places of the kept terms that the text holds."""
+        """Places of the trained terms that the text holds."""
         known, found = self._known, set()
         if len(known) > CACHED_WORDS:
             known.clear()
         for word in words_of(text):
             at = known.get(word)
             if at is None:
-                at = tuple(self.place[h] for h in _hashes(word) if h in self.place)
+                hashes = [h % self.slots for h in _hashes(word)] if self.slots else _hashes(word)
+                at = tuple(self.place[h] for h in hashes if h in self.place)
                 if len(word) <= 48:
                     known[word] = at
             if at:
@@ -93,30 +96,34 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(raw, -60, 60))))
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, size: int, epochs: int = 24, rate: float = 0.03, keep: float = 1e-4):
-    """Logistic loss by Adam on small batches; returns bias, weights, vectors."""
+def _fit(values: np.ndarray, ends: np.ndarray, y: np.ndarray, size: int, epochs: int = 24, rate: float = 0.03, keep: float = 1e-4):
+    """Logistic loss by Adam on small batches, whose steps touch only the terms they hold; returns bias, weights, vectors.
+
+    Row k holds the terms values[ends[k] : ends[k + 1]]. The 1e-3 below the step damps terms that are seen once or twice.
+    """
     random = np.random.default_rng(11)
     w, v, b = np.zeros(size, np.float32), random.normal(0, 0.02, (size, FACTORS)).astype(np.float32), np.float32(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3)))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
-    step = 0
+    steps = np.zeros(size, np.float32)
     for _ in range(epochs):
-        order = random.permutation(len(rows))
+        order = random.permutation(len(y))
         for start in range(0, len(order), 128):
             part = order[start : start + 128]
-            x = np.zeros((len(part), size), np.float32)
-            for k, r in enumerate(part):
-                x[k, rows[r]] = 1
-            s = x @ v
-            raw = b + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1))
-            pull = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[part]) / len(part)
-            gw = x.T @ pull + keep * w
-            gv = x.T @ (pull[:, None] * s) - (x.T @ pull)[:, None] * v + keep * v
-            step += 1
-            for k, (value, g) in enumerate(((w, gw), (v, gv))):
+            at, place = np.unique(np.concatenate([values[ends[r] : ends[r + 1]] for r in part]), return_inverse=True)
+            x = np.zeros((len(part), len(at)), np.float32)
+            x[np.repeat(np.arange(len(part)), ends[part + 1] - ends[part]), place] = 1
+            wa, va = w[at], v[at]
+            s = x @ va
+            raw = b + x @ wa + 0.5 * ((s * s).sum(1) - x @ (va * va).sum(1))
+            pull = ((1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[part]) / len(part)).astype(np.float32)
+            gw = x.T @ pull + keep * wa
+            gv = x.T @ (pull[:, None] * s) - (x.T @ pull)[:, None] * va + keep * va
+            steps[at] += 1
+            for k, (value, g, n) in enumerate(((w, gw, steps[at]), (v, gv, steps[at][:, None]))):
                 m, q = state[2 * k], state[2 * k + 1]
-                m += 0.1 * (g - m)
-                q += 0.01 * (g * g - q)
-                value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-8)
+                m[at] += 0.1 * (g - m[at])
+                q[at] += 0.01 * (g * g - q[at])
+                value[at] -= rate * (m[at] / (1 - 0.9**n)) / (np.sqrt(q[at] / (1 - 0.99**n)) + 1e-3)
             b -= np.float32(rate) * np.float32(pull.sum()) * 10
     return float(b), w, v
 
@@ -133,39 +140,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
     chosen = F.broadcast(materialize(chosen[0].unionByName(chosen[1])))  # at most 2 * sample rows
 
     def extract(batch: pa.RecordBatch):
-        terms = [sorted({h for w in words_of(t) for h in _hashes(w)}) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms"])
+        terms = [sorted({h % SLOTS for w in words_of(t) for h in _hashes(w)}) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
 
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "toxic", "text")
-    found = materialize(joined.mapInArrow(by_batch(extract), "doc_id long, toxic int, terms array<long>"))
+    found = materialize(joined.mapInArrow(by_batch(extract), "doc_id long, toxic int, terms array<int>"))
     totals = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     empty = FactorizationMachine([], -30.0 if not n1 else 30.0, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
     if not n0 or not n1:
         return empty
-    counted = found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("ones"))
-    share = n1 / (n0 + n1)
-    # How far the toxic count lies from what chance gives, in standard deviations.
-    signal = (F.col("ones") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1e-9)
-    counted = materialize(counted.where(F.col("n") >= LEAST_DOCUMENTS).withColumn("signal", signal))
-    telling = counted.where(F.abs("signal") >= LEAST_SIGNAL).orderBy(F.abs("signal").desc(), "term").limit(TERMS)
-    context = counted.orderBy(F.col("n").desc(), "term").limit(CONTEXT_TERMS)
-    terms = sorted({r["term"] for r in telling.unionByName(context).select("term").collect()})  # at most TERMS + CONTEXT_TERMS
-    kept = spark.sparkContext.broadcast(np.array(terms, np.int64))
-
-    def narrow(batch: pa.RecordBatch):
-        out = [np.flatnonzero(np.isin(kept.value, np.array(t, np.int64))).tolist() for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "toxic", "at"])
-
-    rows = found.mapInArrow(by_batch(narrow), "doc_id long, toxic int, at array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    at = [np.array(r, np.int64) for r in rows["at"].to_pylist()]
-    bias, weights, vectors = _fit(at, rows["toxic"].to_numpy().astype(np.float32), len(terms))
-    return FactorizationMachine(terms, bias - float(np.log((n1 / n0) / (every[1] / every[0]))), weights, vectors)
+    rows = found.toArrow().combine_chunks()  # at most 2 * sample documents
+    rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("toxic", "ascending")]))
+    lists = rows["terms"].combine_chunks()
+    terms, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    bias, weights, vectors = _fit(at, ends, rows["toxic"].to_numpy().astype(np.float32), len(terms))
+    return FactorizationMachine(terms.tolist(), bias - float(np.log((n1 / n0) / (every[1] / every[0]))), weights, vectors, SLOTS)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, name: str = "toxicity") -> DataFrame:
     """All columns of `docs` plus the score from 0 to 1 as column `name` (a clashing column is replaced)."""
-    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)  # a bounded number of terms
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)  # at most SLOTS terms
 
     @F.arrow_udf("double")
     def judge(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -101,6 +101,24 @@ def test_toxicity_learns_a_pair_of_terms(spark):
     assert by_id[9002] >= 0.5
 
 
+def test_toxicity_learns_pairs_of_many_terms_that_tell_nothing_alone(spark):
+    """Each of 40 insults and 40 groups is as frequent in clean as in toxic texts; half of the pairs are toxic."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3))
+    insults, groups, plain = ([[word() for _ in range(n)] for _ in range(2)] for n in (20, 20, 30))
+    rows, labels = [], []
+    for k in range(2000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        text = [rng.choice(insults[a]), rng.choice(groups[b])] + [rng.choice(plain[k % 2]) for _ in range(12)]
+        rng.shuffle(text)
+        rows.append((k, " ".join(text)))
+        labels.append((k, int(a == b)))
+    df, truth = spark.createDataFrame(rows, "doc_id long, text string"), dict(labels)
+    model = toxicity.train(df.where("doc_id < 1600"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = toxicity.score(df.where("doc_id >= 1600"), model).collect()
+    assert len(held) == 400 and sum((r.toxicity >= 0.5) == truth[r.doc_id] for r in held) >= 380
+
+
 def test_a_larger_label_table_gives_the_same_decisions(spark):
     """Texts that are toxic in three of ten cases pass, however many labelled rows the sample leaves out."""
     rows, labels = [], []
