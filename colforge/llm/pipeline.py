@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colforge.llm import decontaminate, language, near_dup, packing, toxicity
-from colforge.llm.common import crc_fold, free_name, prepare, shared_dir, table
+from colforge.llm.common import crc_fold, free_name, materialize, prepare, shared_dir, table
 
 
 def _tokenizer() -> str:
@@ -25,6 +25,11 @@ def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _row_key() -> Column:
+    """64 bits of doc_id and text, never null: the same wherever and however often a row is read."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"), F.col("doc_id").isNull(), F.col("text").isNull())
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; without letters, or with two languages alike, they go."""
     model = language.train(docs, crc_fold("doc_id", 4) != 2)
@@ -44,20 +49,30 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group tied by five-word shingles at 0.8 or more.
 
-    Rows that share a doc_id with an equal text are one document; with a null doc_id each row stays.
+    Rows are told apart by doc_id and text. Only rows equal in both are one document; a doc_id under several texts names
+    several documents. Rows with a null doc_id are compared like the others and come after those with one; without any
+    word each of them stays.
     """
-    kept = near_dup.near_duplicates(docs, words=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    once = named.groupBy("doc_id").agg(F.count("*").alias("__n")).where("`__n` > 1").select("doc_id")
-    single = named.join(once, "doc_id", "left_anti")
-    repeated = named.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _columns(single, docs).unionByName(_columns(repeated, docs)).unionByName(docs.where("doc_id IS NULL"))
+    keyed = docs.select("doc_id", "text", _row_key().alias("__key"))
+    # Rows without an id that are equal need one comparison; the others are read in place.
+    compared = keyed.where("doc_id IS NOT NULL").unionByName(keyed.where("doc_id IS NULL").dropDuplicates(["__key"]))
+    found = near_dup.near_duplicates(compared.select(F.col("__key").alias("doc_id"), "text"), words=5, percent=80)
+    found = found.select(F.col("doc_id").alias("__key"), "component_id", (F.col("n_shingles") == 0).alias("blank")).distinct()
+    named = keyed.groupBy("__key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    named = materialize(named.join(found, "__key"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__key")).alias("first"))
+    # Whether a kept row has equals of which one stays.
+    several = (F.col("rows") > 1) & ~(F.col("blank") & F.col("doc_id").isNull())
+    kept = materialize(named.join(first.select(F.col("first.__key").alias("__key")), "__key", "left_semi").select("__key", several.alias("__several")))
+    rows = docs.withColumn("__key", _row_key()).join(kept, "__key")
+    return _columns(rows.where("NOT __several"), docs).unionByName(_columns(rows.where("__several").dropDuplicates(["__key"]), docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no passage with the benchmark."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__doc_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__doc_id"]), "left_anti")
+    """Documents that share no passage with the benchmark; each text under a doc_id is judged for itself."""
+    keyed = docs.select(_row_key().alias("doc_id"), "text")
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__key")).distinct()
+    return docs.join(found, _row_key() == found["__key"], "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

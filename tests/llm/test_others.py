@@ -168,3 +168,19 @@ def test_pipeline_keeps_the_clean_and_drops_the_planted(spark, tmp_path):
     assert kept["decontamination"] == clean and sorted(set(kept["packing"])) == clean
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, run.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, frame.select("doc_id", "piece", "ids_crc32").collect()))
+
+
+def test_texts_under_one_id_are_documents_each_for_itself(spark, tmp_path):
+    from colforge.llm import pipeline
+
+    rng = random.Random(4)
+    a, b, c, d, e, item = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(6))
+    rows = [(0, a), (1, a), (1, b), (1, b), (1, c), (7, c + " tail"), (None, d), (None, d), (8, e), (None, e), (None, ""), (None, ""), (9, None), (9, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(3)
+    out = pipeline.near_dup_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(0, a), (1, b), (1, c), (None, d), (8, e), (None, ""), (None, ""), (9, None), (9, "")]
+    assert sorted(map(repr, out.select("doc_id", "text").toLocalIterator())) == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in want)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    dirty = spark.createDataFrame([(1, a), (1, b + " " + item), (None, c), (None, item)], "doc_id long, text string")
+    assert sorted(r.text for r in pipeline.decontamination_stage(spark, dirty, str(tmp_path)).collect()) == sorted([a, c])
