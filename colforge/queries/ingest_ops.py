@@ -13,6 +13,7 @@ from colforge.operators.duplicates import DuplicateGroups
 from colforge.queries.base import cents, query, table
 from colforge.queries.io_ops import scratch
 from colforge.query import describe_table, run_sql
+from colforge.session import materialize
 from colforge.sources import arrow_ipc, project
 from colforge.sources.csv_ingest import LINE, CsvOptions, check_field_count, read_csv, read_folder, read_simple
 from colforge.streaming import streams
@@ -361,6 +362,22 @@ def _(spark, d):
     )
 
 
+@query("sql_recursive_all", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step FROM orders")
+def _(spark, d):
+    """sql_recursive over all orders: as many rounds as the customer with the most orders has."""
+    # The links are written once, since each round of the recursion reads them again.
+    linked = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.expr("lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)").alias("before"))
+    materialize(linked).createOrReplaceTempView("recursive_links")
+    for limit in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
+        spark.conf.set(limit, "-1")
+    return run_sql(
+        spark,
+        """WITH RECURSIVE steps AS (SELECT o_custkey, o_orderkey, CAST(1 AS BIGINT) AS step FROM recursive_links WHERE before IS NULL
+          UNION ALL SELECT l.o_custkey, l.o_orderkey, s.step + 1 FROM steps s JOIN recursive_links l ON l.o_custkey = s.o_custkey AND l.before = s.o_orderkey)
+        SELECT o_custkey, o_orderkey, step FROM steps""",
+    )
+
+
 @query(
     "dup_full_steps",
     """SELECT min(k) AS first_group, count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows FROM (

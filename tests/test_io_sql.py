@@ -289,3 +289,13 @@ def test_csv_stream(spark, tmp_path):
     streams.drain(streams.absolute_bins(stream, "at", 3600), str(tmp_path / "cp"), str(tmp_path / "out"))
     rows = spark.read.parquet(str(tmp_path / "out")).orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, dt.datetime(2024, 1, 1, 10), 1.5, 473362), (2, None, None, None)]
+
+
+def test_recursion_reaches_every_order(spark, tmp_path):
+    """More rounds than Spark allows by default, and customers beyond the fiftieth."""
+    from colforge.queries import QUERIES
+
+    rows = [(7, 10 * k) for k in range(130)] + [(c, 5000 + c) for c in range(60, 90)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["sql_recursive_all"][0](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((c, o, o // 10 + 1 if c == 7 else 1) for c, o in rows)
