@@ -108,3 +108,10 @@ def op7_nearest_vectors(spark, sf_dir):
     from colforge.llm.ann import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    from colforge.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=4)
