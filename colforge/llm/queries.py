@@ -115,3 +115,32 @@ def op13_whitening(spark, sf_dir):
     from colforge.llm.whitening import whiten
 
     return whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=4)
+
+
+@query(
+    "op12_prefix_trie",
+    r"""
+    WITH steps AS (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), (c, x) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
+    crc AS (SELECT list(v ORDER BY i) AS t FROM steps),
+    said AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    taken AS (SELECT c, l, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), x -> ord(x)::BIGINT)),
+                     (s, b) -> xor(list_extract(t, (xor(s, b) & 255) + 1), s >> 8)), 4294967295) % 4 AS h FROM said, crc),
+    rebuilt AS (SELECT o.c, list_concat(coalesce(list_slice(b.l, 1, o.h), []), list_slice(o.l, o.h + 1, len(o.l))) AS l FROM taken o LEFT JOIN said b ON b.c = o.c - o.c % 20),
+    places AS (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt),
+    nodes AS (SELECT list_slice(l, 1, d) AS k, d, min(c) AS c, count(*) AS n,
+              sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(l) = d), '')) AS ends FROM places GROUP BY 1, 2),
+    family AS (SELECT n.*, coalesce(m.kids, 0) AS kids, p.c AS up, (n.n - 1) * CASE WHEN n.d = 0 THEN 0 ELSE len(regexp_extract_all(n.k[n.d].t, '[^\x20\x09-\x0D]+')) END AS saved
+               FROM nodes n LEFT JOIN (SELECT list_slice(k, 1, d - 1) AS k, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY 1) m ON m.k = n.k
+               LEFT JOIN nodes p ON n.d > 0 AND p.k = list_slice(n.k, 1, n.d - 1)),
+    paths AS (SELECT k, unnest(range(0, d + 1)) AS a, kids, saved FROM family),
+    below AS (SELECT list_slice(k, 1, a) AS k, count(*) FILTER (kids = 0) AS leaves, sum(saved) AS saved FROM paths GROUP BY 1)
+    SELECT f.c::BIGINT AS conv_id, f.d::BIGINT AS depth, f.up::BIGINT AS parent_conv_id, f.n::BIGINT AS n_convs, f.kids::BIGINT AS n_children,
+           b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+    FROM family f JOIN below b ON b.k = f.k
+    """,
+)
+def op12_prefix_trie(spark, sf_dir):
+    from colforge.llm.prefix_trie import trie
+
+    return trie(table(spark, sf_dir, "conversations"))
