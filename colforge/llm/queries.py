@@ -120,12 +120,12 @@ def op13_whitening(spark, sf_dir):
 @query(
     "op12_prefix_trie",
     r"""
-    WITH steps AS (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), (c, x) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
+    WITH steps AS (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
     crc AS (SELECT list(v ORDER BY i) AS t FROM steps),
     said AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
              FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-    taken AS (SELECT c, l, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), x -> ord(x)::BIGINT)),
-                     (s, b) -> xor(list_extract(t, (xor(s, b) & 255) + 1), s >> 8)), 4294967295) % 4 AS h FROM said, crc),
+    taken AS (SELECT c, l, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                     lambda s, b: xor(list_extract(t, (xor(s, b) & 255) + 1), s >> 8)), 4294967295) % 4 AS h FROM said, crc),
     rebuilt AS (SELECT o.c, list_concat(coalesce(list_slice(b.l, 1, o.h), []), list_slice(o.l, o.h + 1, len(o.l))) AS l FROM taken o LEFT JOIN said b ON b.c = o.c - o.c % 20),
     places AS (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt),
     nodes AS (SELECT list_slice(l, 1, d) AS k, d, min(c) AS c, count(*) AS n,
