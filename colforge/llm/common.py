@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from colforge.session import materialize, shared_dir  # noqa: F401
 
@@ -63,6 +66,39 @@ def by_batch(fn) -> callable:
     return run
 
 
+class Fitted:
+    """A trained model as bytes: the driver passes it on unopened, each Python worker opens it once."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def __getstate__(self):
+        return {"data": self.data}
+
+    @cached_property
+    def model(self):
+        return pickle.loads(self.data)
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> Fitted:
+    """`fit` applied to all `rows` within one executor task; only the model reaches the driver.
+
+    The caller bounds the number of rows. They are written first, so a lost executor costs the fit alone, and sorted by
+    all their columns, so that it does not matter which task wrote which of them.
+    """
+    rows = materialize(rows)
+    order = [c for c, kind in rows.dtypes if not kind.startswith("array")]
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in rows.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([b.cast(schema) for b in batches], schema)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], names=["model"])
+
+    fitted = rows.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").first()
+    # Adaptive execution drops a task without rows.
+    return Fitted(fitted["model"] if fitted else pickle.dumps(fit(schema.empty_table())))
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Number of edges and two checks over all of them: equal when nothing has moved."""
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("pmod(xxhash64(b, a), 1000003)"))).first())

@@ -144,3 +144,15 @@ def op12_prefix_trie(spark, sf_dir):
     from colforge.llm.prefix_trie import trie
 
     return trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_secrets")
+def op11_secrets(spark, sf_dir):
+    from colforge.llm.secret_scan import KINDS, findings, scan, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, train(findings(docs))).select("doc_id", "findings")
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("findings", lambda s: s["kind"] != KINDS[-1])
+    counts = [F.expr(f"CAST(size(filter(findings, s -> s.kind = '{kind}')) AS LONG)").alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts[:-1], F.sha2(named(base), 256).alias("base_sha256"), named(F.col("findings")).alias("spans"), counts[-1])
