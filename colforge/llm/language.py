@@ -4,8 +4,9 @@ Every language has a codeword; one logistic classifier per bit separates the lan
 text gets the language whose codeword costs least: the sum of the bits' logistic losses, each weighted by how reliable
 its classifier was in training. When the second-best codeword is nearly as cheap, the text is flagged as ambiguous.
 
-Learning takes at most SAMPLE_DOCUMENTS labelled rows (equally many per language, chosen by a hash of doc_id), scoring
-reads every text whole, in place, without a shuffle. Texts that are null or hold no letter are `und` with score 0 and
+Learning takes at most SAMPLE_DOCUMENTS labelled rows, equally many per language, those with the smallest hashes of doc_id
+and text; rows equal in both teach once, and should there be more languages than that, some of them go unlearned. It runs
+inside one executor task, the driver sees only the model. Scoring reads every text whole, in place, without a shuffle. Texts that are null or hold no letter are `und` with score 0 and
 ambiguous. Without any labelled row every text is `und`. Rows with equal or null doc_id are each judged for themselves;
 other columns are passed on untouched or not read.
 """
@@ -13,6 +14,7 @@ other columns are passed on untouched or not read.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -22,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colforge.llm.common import prepare
+from colforge.llm.common import Fitted, fit_in_task, prepare
 
-SAMPLE_DOCUMENTS = 800
+SAMPLE_DOCUMENTS = 1600
 BUCKETS = 1 << 13
 GRAMS = (2, 3, 4)
 PART_BYTES = 1 << 20
@@ -70,7 +72,7 @@ def codewords(n: int) -> np.ndarray:
     bits = math.ceil(10 * math.log2(n))
     for _ in range(200):
         code = random.choice([-1.0, 1.0], (n, bits))
-        least = min(int((code[a] != code[b]).sum()) for a, b in combinations(range(n), 2))
+        least = int((bits - (code @ code.T - 2 * bits * np.eye(n)).max()) / 2)
         if least > distance and (np.abs(code.sum(0)) < n).all():
             best, distance = code, least
     return best
@@ -112,63 +114,64 @@ def _fit(x: np.ndarray, y: np.ndarray, codes: np.ndarray, steps: int = 200, rate
     return w, b, np.clip(1 - 2 * wrong, 0.05, 1)
 
 
-def train(docs: DataFrame, usable: Column, sample: int = SAMPLE_DOCUMENTS) -> LanguageModel | None:
+def fit(rows: pa.Table) -> LanguageModel | None:
+    """The model learned from rows (lang, x): x are the features, BUCKETS numbers of 16 bits."""
+    names, y = np.unique(np.array(rows["lang"].to_pylist(), object), return_inverse=True)
+    if not len(names):
+        return None
+    x = np.empty((len(y), BUCKETS), np.float32)
+    k = 0
+    for chunk in rows["x"].chunks:
+        for held in chunk:
+            x[k] = np.frombuffer(held.as_buffer(), np.float16)
+            k += 1
+    codes = codewords(len(names))
+    if codes.shape[1] == 0:
+        return LanguageModel(list(names), codes, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(0))
+    return LanguageModel(list(names), codes, *_fit(x, y, codes))
+
+
+def train(docs: DataFrame, usable: Column, sample: int = SAMPLE_DOCUMENTS) -> Fitted | None:
     """Learn from text and lang of the rows where `usable` holds; None without such rows.
 
-    Two reads: which rows to take (ids only), then their features, at most `sample` rows of BUCKETS numbers.
+    Reads: how many languages there are, which rows to take (no texts), then the features of these, at most `sample`.
     """
     prepare(docs.sparkSession)
-    fit = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    names = sorted(r[0] for r in fit.select("lang").distinct().collect())  # as many as there are languages
-    if not names:
+    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("k", F.xxhash64("doc_id", "text"))
+    languages = rows.agg(F.count_distinct("lang")).first()[0]
+    if not languages:
         return None
-    each = max(1, sample // len(names))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))
-    chosen = fit.select("doc_id", "lang", F.xxhash64("doc_id").alias("k")).withColumn("rank", rank).where(F.col("rank") <= each)
-    chosen = F.broadcast(chosen.select("doc_id", "lang").distinct())  # at most `sample` rows
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
+    chosen = rows.select("lang", "k").withColumn("rank", rank).where(F.col("rank") <= max(1, sample // languages))
+    chosen = F.broadcast(chosen.orderBy("rank", "k", "lang").limit(sample).select("lang", "k").distinct())  # at most `sample` rows
 
     def extract(batches):
         for batch in batches:
-            rows = []
-            for doc_id, text, lang in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            out = []
+            for k, lang, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 if has_letter(text):
-                    rows.append((lang, features(text).astype(np.float16).tobytes()))
+                    out.append((k, lang, features(text).astype(np.float16).tobytes()))
                     # A short stretch of the same text teaches what few words look like.
-                    at = (doc_id or 0) * 7919 % max(1, len(text) - FRAGMENT)
+                    at = k * 7919 % max(1, len(text) - FRAGMENT)
                     if has_letter(text[at : at + FRAGMENT]):
-                        rows.append((lang, features(text[at : at + FRAGMENT]).astype(np.float16).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
-
-    found = fit.select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
-    got = found.mapInArrow(extract, "lang string, x binary").toArrow()
-    labels = got["lang"].to_pylist()
-    names = sorted(set(labels))
-    if not names:
-        return None
-    # One copy of the numbers, in an order that does not depend on which task ended first.
-    held = got["x"].combine_chunks()
-    order = sorted(range(len(labels)), key=lambda k: (labels[k], held[k].as_buffer().to_pybytes()[:64]))
-    x = np.empty((len(labels), BUCKETS), np.float32)
-    for row, k in enumerate(order):
-        x[row] = np.frombuffer(held[k].as_buffer(), np.float16)
-    y = np.array([names.index(labels[k]) for k in order])
-    del got, held
-    codes = codewords(len(names))
-    if codes.shape[1] == 0:
-        return LanguageModel(names, codes, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(0))
-    return LanguageModel(names, codes, *_fit(x, y, codes))
+                        out.append((k, lang, features(text[at : at + FRAGMENT]).astype(np.float16).tobytes()))
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.binary()))], names=["k", "lang", "x"])
+
+    found = rows.join(chosen, ["k", "lang"]).groupBy("k", "lang").agg(F.first("text").alias("text"))
+    return fit_in_task(found.mapInArrow(extract, "k long, lang string, x binary"), fit)
 
 
-def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+def identify(docs: DataFrame, model: Fitted | None) -> DataFrame:
     """All columns of `docs` plus lang_pred, lang_score, lang_ambiguous (a clashing column is replaced)."""
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers per bit
+    shared = spark.sparkContext.broadcast(model or Fitted(pickle.dumps(None)))  # BUCKETS numbers per bit
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_ambiguous")]
 
     @F.arrow_udf("struct<p:string,s:double,a:boolean>")
     def judge(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            m, texts = shared.value, part.to_pylist()
+            m, texts = shared.value.model, part.to_pylist()
             names, scores, unclear = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
             known = [k for k, t in enumerate(texts) if m is not None and has_letter(t)]
             if known:

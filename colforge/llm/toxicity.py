@@ -5,13 +5,16 @@ a table of SLOTS places. Every term of the sample is trained, however rare and w
 each place a weight and a vector, and adds the vectors' products for each pair of terms in a text, so that two terms
 together can mean more than the sum of both.
 
-Learning takes at most SAMPLE_DOCUMENTS labelled rows per class (chosen by a hash of doc_id); the driver holds four bytes
-per distinct term of each of them, and steps touch only the places of their texts. The classes of all labelled rows are
-counted, and the bias is moved from the odds of the sample to theirs, so that a larger table does not shift the scores.
+Steps grow with evidence: a row's error moves its terms by their trust, which is small for terms seen once or twice (they
+would learn the row by heart) and for terms of nearly every row (they tell nothing).
+
+Learning takes at most SAMPLE_DOCUMENTS labelled rows per class (smallest hashes of doc_id and text; rows equal in both
+teach once) inside one executor task, so the driver sees only the model. All labelled rows of the classes are counted, and
+the bias is moved from the odds of the sample to theirs, so that a larger table does not shift the scores.
 Scoring reads every text whole, in place, without a shuffle. A null text is empty; it and
 texts without any trained term get the score of the bias. Without labelled rows of both classes the score is the known
 class (0 without any). Several labels of one document count as toxic if one of them is; rows with null ids or labels
-teach nothing. Rows with equal or null doc_id are each scored for themselves.
+teach nothing. Rows with equal or null doc_id are each scored for themselves, ties at one half count as toxic.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colforge.llm.common import by_batch, materialize, prepare
+from colforge.llm.common import Fitted, by_batch, fit_in_task, materialize, prepare
 
 SAMPLE_DOCUMENTS = 4000
 SLOTS = 1 << 18
@@ -96,77 +99,81 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(raw, -60, 60))))
 
 
-def _fit(values: np.ndarray, ends: np.ndarray, y: np.ndarray, size: int, epochs: int = 24, rate: float = 0.03, keep: float = 1e-4):
-    """Logistic loss by Adam on small batches, whose steps touch only the terms they hold; returns bias, weights, vectors.
+def _fit(values: np.ndarray, ends: np.ndarray, y: np.ndarray, size: int, epochs: int = 32, rate: float = 20.0):
+    """Logistic loss by falling steps on small batches, which touch only the terms they hold; returns bias, weights, vectors.
 
-    Row k holds the terms values[ends[k] : ends[k + 1]]. The 1e-3 below the step damps terms that are seen once or twice.
+    Row k holds the terms values[ends[k] : ends[k + 1]]. A step is divided by the trust it meets (and by the length of the
+    text's vector), so that long texts do not leap.
     """
     random = np.random.default_rng(11)
-    w, v, b = np.zeros(size, np.float32), random.normal(0, 0.02, (size, FACTORS)).astype(np.float32), np.float32(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3)))
-    state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
-    steps = np.zeros(size, np.float32)
-    for _ in range(epochs):
-        order = random.permutation(len(y))
-        for start in range(0, len(order), 128):
-            part = order[start : start + 128]
+    rows = np.float32(len(y))
+    seen = np.bincount(values, minlength=size).astype(np.float32)
+    trust = seen * seen / (seen * seen + 100) * (1 - seen / rows) ** 4
+    mass = np.array([trust[values[a:b]].sum() for a, b in zip(ends, ends[1:])], np.float32)
+    w, v = np.zeros(size, np.float32), random.normal(0, 0.01, (size, FACTORS)).astype(np.float32) * trust[:, None]
+    b = np.float32(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3)))
+    for epoch in range(epochs):
+        order, now = random.permutation(len(y)), np.float32(rate * 0.005 ** (epoch / epochs))
+        for start in range(0, len(order), 16):
+            part = order[start : start + 16]
             at, place = np.unique(np.concatenate([values[ends[r] : ends[r + 1]] for r in part]), return_inverse=True)
             x = np.zeros((len(part), len(at)), np.float32)
             x[np.repeat(np.arange(len(part)), ends[part + 1] - ends[part]), place] = 1
-            wa, va = w[at], v[at]
+            wa, va, t = w[at], v[at], trust[at]
             s = x @ va
             raw = b + x @ wa + 0.5 * ((s * s).sum(1) - x @ (va * va).sum(1))
-            pull = ((1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[part]) / len(part)).astype(np.float32)
-            gw = x.T @ pull + keep * wa
-            gv = x.T @ (pull[:, None] * s) - (x.T @ pull)[:, None] * va + keep * va
-            steps[at] += 1
-            for k, (value, g, n) in enumerate(((w, gw, steps[at]), (v, gv, steps[at][:, None]))):
-                m, q = state[2 * k], state[2 * k + 1]
-                m[at] += 0.1 * (g - m[at])
-                q[at] += 0.01 * (g * g - q[at])
-                value[at] -= rate * (m[at] / (1 - 0.9**n)) / (np.sqrt(q[at] / (1 - 0.99**n)) + 1e-3)
-            b -= np.float32(rate) * np.float32(pull.sum()) * 10
+            pull = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[part]).astype(np.float32)
+            step = now * pull / (1 + mass[part] * (1 + 2 * (s * s).sum(1)))
+            held = x.T @ step
+            w[at] = wa - t * held
+            v[at] = va - 2 * t[:, None] * (x.T @ (step[:, None] * s) - held[:, None] * va)
+            b -= step.sum()
     return float(b), w, v
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> FactorizationMachine:
-    """Learn from `docs` (doc_id, text) and `labels` (doc_id, toxic)."""
-    spark = prepare(docs.sparkSession)
-    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    # All labelled documents with their rows: the classes are sampled each for itself, so the prior is theirs.
-    ids = materialize(docs.select("doc_id").join(marked, "doc_id").groupBy("doc_id", "toxic").agg(F.count("*").alias("rows")))
-    every = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.sum("rows").alias("n")).collect()}
-    ids = ids.withColumn("k", F.xxhash64("doc_id"))
-    chosen = [ids.where(F.col("toxic") == c).orderBy("k", "doc_id").limit(sample).select("doc_id", "toxic") for c in (0, 1)]
-    chosen = F.broadcast(materialize(chosen[0].unionByName(chosen[1])))  # at most 2 * sample rows
-
-    def extract(batch: pa.RecordBatch):
-        terms = [sorted({h % SLOTS for w in words_of(t) for h in _hashes(w)}) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
-
-    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "toxic", "text")
-    found = materialize(joined.mapInArrow(by_batch(extract), "doc_id long, toxic int, terms array<int>"))
-    totals = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    empty = FactorizationMachine([], -30.0 if not n1 else 30.0, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
+def fit(rows: pa.Table, every: dict[int, int]) -> FactorizationMachine:
+    """The machine learned from rows (toxic, terms); `every` counts all labelled rows of the classes."""
+    y = rows["toxic"].to_numpy().astype(np.float32)
+    n1 = int(y.sum())
+    n0 = len(y) - n1
     if not n0 or not n1:
-        return empty
-    rows = found.toArrow().combine_chunks()  # at most 2 * sample documents
-    rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("toxic", "ascending")]))
+        return FactorizationMachine([], -30.0 if not n1 else 30.0, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
     lists = rows["terms"].combine_chunks()
     terms, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-    bias, weights, vectors = _fit(at, ends, rows["toxic"].to_numpy().astype(np.float32), len(terms))
+    bias, weights, vectors = _fit(at, ends, y, len(terms))
     return FactorizationMachine(terms.tolist(), bias - float(np.log((n1 / n0) / (every[1] / every[0]))), weights, vectors, SLOTS)
 
 
-def score(docs: DataFrame, model: FactorizationMachine, name: str = "toxicity") -> DataFrame:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Fitted:
+    """Learn from `docs` (doc_id, text) and `labels` (doc_id, toxic)."""
+    prepare(docs.sparkSession)
+    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
+    # Which rows there are needs no texts; the classes are sampled each for itself, so the prior is theirs.
+    rows = materialize(keyed.select("doc_id", "k").join(marked, "doc_id").distinct())
+    every = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    chosen = [rows.where(F.col("toxic") == c).orderBy("k", "doc_id").limit(sample) for c in (0, 1)]
+    chosen = F.broadcast(materialize(chosen[0].unionByName(chosen[1])))  # at most 2 * sample rows
+
+    def extract(batch: pa.RecordBatch):
+        terms = [sorted({h % SLOTS for w in words_of(t) for h in _hashes(w)}) for t in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(terms, pa.list_(pa.int32()))], names=["k", "doc_id", "toxic", "terms"])
+
+    joined = keyed.join(chosen, ["doc_id", "k"]).groupBy("k", "doc_id", "toxic").agg(F.first("text").alias("text"))
+    found = joined.mapInArrow(by_batch(extract), "k long, doc_id long, toxic int, terms array<int>")
+    return fit_in_task(found, lambda table: fit(table, every))
+
+
+def score(docs: DataFrame, model: Fitted, name: str = "toxicity") -> DataFrame:
     """All columns of `docs` plus the score from 0 to 1 as column `name` (a clashing column is replaced)."""
     shared = prepare(docs.sparkSession).sparkContext.broadcast(model)  # at most SLOTS terms
 
     @F.arrow_udf("double")
     def judge(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine = shared.value.model
         for part in parts:
-            yield pa.array([shared.value.score(t) for t in part.to_pylist()], pa.float64())
+            yield pa.array([machine.score(t) for t in part.to_pylist()], pa.float64())
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c != name]
     return docs.select(*kept, judge(F.col("text").cast("string")).alias(name))
