@@ -29,7 +29,7 @@ def test_many_rows_under_one_id_stay_within_the_bound(spark, monkeypatch):
     assert [r.lang_pred for r in language.identify(spark.createDataFrame([("kalo rela mitu",)], "text string"), model).collect()] == ["xx"]
     seen = caught(monkeypatch, toxicity)
     labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int")
-    toxicity.train(docs.unionByName(spark.createDataFrame([(8, "fein", None)], docs.schema)), labels, sample=40)
+    toxicity.train(docs.unionByName(spark.createDataFrame([(8, "fein", "xx")], docs.schema)), labels, sample=40)
     assert seen == [41]
 
 
