@@ -92,9 +92,9 @@ def parse_seconds(value: Column) -> Column:
 
 
 def parse_micros(value: Column) -> Column:
-    """Like `parse_seconds`, in microseconds: fractions of a second are kept."""
+    """Like `parse_seconds`, in microseconds: fractions of a second are kept, and an epoch whose microseconds leave 64 bits is NULL."""
     text = F.trim(value)
-    epoch = F.when(text.rlike(r"^[+-]?\d{1,12}$"), text).try_cast("long") * 1_000_000
+    epoch = F.try_multiply(F.when(text.rlike(r"^[+-]?\d{1,19}$"), text).try_cast("long"), F.lit(1_000_000).cast("long"))
     return F.coalesce(epoch, ntz_micros(parse_instant(text)), micros_of_day(text, allow_hm=True))
 
 

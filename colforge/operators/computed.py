@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colforge.plans.exact import grids
 from colforge.plans.ordered import OrderedScan, Previous, RowIndex, RunningSum, Runs
 from colforge.session import materialize
 
@@ -139,11 +140,20 @@ def delta_offset(df, column, offset, out=None, *, order_by, partition_by=(), buc
     return scan.sliding(offset, lambda w: {out: F.try_subtract(F.col(column), F.lag(column, offset).over(w))}, [column])
 
 
-def cumulative_sum(df, column, out=None, *, order_by, partition_by=(), nulls="propagate", buckets=None) -> DataFrame:
-    """Running total. A NULL row stays NULL ("propagate") or shows the total so far ("skip", "zero")."""
+def cumulative_sum(df, column, out=None, *, order_by, partition_by=(), nulls="propagate", buckets=None, exact=False) -> DataFrame:
+    """Running total. A NULL row stays NULL ("propagate") or shows the total so far ("skip", "zero").
+
+    Sums of doubles are rounded at every step, so their last digits depend on the number of buckets. `exact` adds without
+    rounding and gives, for each row, the double nearest to the true total, whatever the buckets (see `plans.exact`).
+    """
     out = out or f"cumsum_{column}"
     _check(df, [column], [out], nulls)
-    return _ordered(df, [Request("cumsum", [column], out, nulls)], order_by, partition_by, buckets)
+    if not exact or not isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        return _ordered(df, [Request("cumsum", [column], out, nulls)], order_by, partition_by, buckets)
+    grid, steps = grids(df, [column])[column], f"__steps_{out}"
+    whole = df.withColumn(steps, grid.whole(F.col(f"`{column}`")))
+    summed = _ordered(whole, [Request("cumsum", [steps], out, nulls)], order_by, partition_by, buckets)
+    return summed.drop(steps).withColumn(out, grid.double(F.col(f"`{out}`")))
 
 
 def fill_forward(df, column, out, *, order_by, partition_by=(), buckets=None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from colforge.functions.rows import numeric_form
 from colforge.plans.ordered import OrderedScan, RowIndex
-from colforge.plans.quantile import SMALL_TABLE, exact_medians
+from colforge.plans.quantile import SMALL_TABLE, exact_integer_medians, exact_medians
 from colforge.session import broadcast_if_small, materialize
 
 
@@ -56,6 +56,21 @@ def summary(df: DataFrame, columns: Sequence[str], small: int = SMALL_TABLE) ->
     return wide.select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
 
 
+def summary_integers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per integer column: column, values, min, max (long), median (decimal with one place), mean (the double nearest
+    to the exact total over the values). No figure but the mean passes through a double, so 2^53 + 1 stays itself."""
+    for c in columns:
+        if not isinstance(df.schema[c].dataType, T.IntegralType):
+            raise ValueError(f"not an integer column: {c}")
+    medians = exact_integer_medians(df, columns)
+    figures = lambda c: F.struct(
+        F.lit(c).alias("column"), F.count(c).alias("values"), F.min(c).cast("long").alias("min"), F.max(c).cast("long").alias("max"),
+        F.lit(medians[c]).cast("decimal(21,1)").alias("median"), F.try_divide(F.sum(F.col(c).cast("decimal(38,0)")).cast("double"), F.count(c)).alias("mean"),
+    )
+    wide = df.agg(*[figures(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    return wide.select(F.inline(F.array(*[f"c{i}" for i in range(len(columns))])))
+
+
 def in_ranges(df: DataFrame, ranges: dict[str, tuple]) -> Column:
     """True where every named column lies in its closed range; NULL lies in none."""
     test = F.lit(True)

@@ -10,6 +10,7 @@ import math
 import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,43 @@ def exact_medians(df: DataFrame, columns: Sequence[str], small: int = SMALL_TABL
     counts = values.agg(*[F.count(n).alias(n) for n in names]).first()
     if max(counts, default=0) <= small:
         return dict(zip(columns, values.agg(*[F.median(n) for n in names]).first()))
+    found = _middle_values(values, names, counts, band_values)
+    return {c: sum(found[n]) / len(found[n]) if found[n] else None for c, n in zip(columns, names)}
+
+
+def exact_integer_medians(df: DataFrame, columns: Sequence[str], band_values: int = BAND_VALUES) -> dict[str, Decimal | None]:
+    """The median of each integer column with all its digits; NULL cells are left out.
 
+    As doubles the middle values are found as above. Doubles keep the order of 64-bit integers but take up to 1024 of them
+    for one, so the cells at a middle value are counted by their own value, and those below it tell the rank.
+    """
+    names = [f"c{i}" for i in range(len(columns))]
+    exact = df.select(*[F.col(f"`{c}`").cast("long").alias(n) for n, c in zip(names, columns)])
+    values = exact.select(*[F.col(n).cast("double").alias(n) for n in names])
+    counts = values.agg(*[F.count(n).alias(n) for n in names]).first()
+    near = {n: set(found) for n, found in _middle_values(values, names, counts, band_values).items()}
+    wanted = [(n, d) for n, ds in near.items() for d in ds]
+    if not wanted:
+        return dict.fromkeys(columns)
+    below = exact.agg(*[F.count_if(F.col(n).cast("double") < F.lit(d)).alias(f"b{i}") for i, (n, d) in enumerate(wanted)]).first()
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(F.col(n).cast("double") == F.lit(d), F.col(n)).alias("v")) for i, (n, d) in enumerate(wanted)])
+    same = exact.select(F.explode(cells).alias("p")).where("p.v IS NOT NULL").groupBy("p.i", "p.v").count().collect()
+    out = {}
+    for c, n in zip(columns, names):
+        picked = []
+        for rank in ((counts[n] - 1) // 2, counts[n] // 2) if counts[n] else ():
+            for i, (name, _) in enumerate(wanted):
+                at = below[i]
+                for _, v, times in sorted(r for r in same if name == n and r[0] == i):
+                    if at <= rank < at + times:
+                        picked.append(v)
+                    at += times
+        out[c] = Decimal(sum(picked)) / 2 if picked else None
+    return out
+
+
+def _middle_values(values: DataFrame, names: Sequence[str], counts, band_values: int) -> dict[str, list[float]]:
+    """The one or two distinct ranks in the middle of each column, as values."""
     near = [max(0.0, 0.5 - SLACK), min(1.0, 0.5 + SLACK)]
     start = values.agg(*[F.struct(F.min(n), F.max(n), F.percentile_approx(n, near, ACCURACY)).alias(n) for n in names]).first()
     targets = []
@@ -76,7 +113,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str], small: int = SMALL_TABL
         if wide:
             _shrink(values, wide)
         targets = missed + [t for t, _, _ in wide]
-    return {c: sum(found[n]) / len(found[n]) if found[n] else None for c, n in zip(columns, names)}
+    return found
 
 
 def _facts(t: _Target) -> Column:

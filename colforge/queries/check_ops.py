@@ -207,6 +207,25 @@ def _(spark, d):
     return _tidy(stats.summary(table(spark, d, "lineitem"), COLUMNS))
 
 
+BIG = "SELECT l_orderkey % 2000 * 4503599627370497 + l_linenumber AS big, l_partkey FROM lineitem"
+
+
+def _integer_sql(column):
+    middle = f"(SELECT CAST(sum({column}) AS DECIMAL(38,1)) FROM (SELECT {column}, row_number() OVER (ORDER BY {column}) AS r, count(*) OVER () AS n FROM ({BIG}) WHERE {column} IS NOT NULL) WHERE r IN ((n + 1) // 2, n // 2 + 1))"
+    halves = f"(SELECT CASE WHEN count(*) % 2 = 1 THEN 1 ELSE 2 END FROM ({BIG}) WHERE {column} IS NOT NULL)"
+    return f"""SELECT '{column}' AS "column", count({column}) AS "values", min({column}) AS min, max({column}) AS max,
+    CAST({middle} * CASE WHEN {halves} = 1 THEN 2 ELSE 1 END AS VARCHAR) AS twice_median, CAST(CAST(sum({column}::HUGEINT) AS VARCHAR) AS DOUBLE) / count({column}) AS mean FROM ({BIG})"""
+
+
+@query("summary_bigint", f"{_integer_sql('big')} UNION ALL {_integer_sql('l_partkey')}")
+def _(spark, d):
+    """Integers beyond 2^53 keep all their digits; the median is compared doubled, as text."""
+    big = F.expr("l_orderkey % 2000 * 4503599627370497 + l_linenumber")
+    df = table(spark, d, "lineitem").select(big.alias("big"), "l_partkey")
+    out = stats.summary_integers(df, ["big", "l_partkey"])
+    return out.select("column", "values", "min", "max", (F.col("median") * 2).cast("decimal(38,1)").cast("string").alias("twice_median"), "mean")
+
+
 @query("summary_stats_narrowing", _summary_sql())
 def _(spark, d):
     """The path for big tables: medians by narrowing bands instead of one value map."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from colforge.operators import computed, groups, timebin
 from colforge.operators.computed import Request
+from colforge.plans.exact import exact_totals
 from colforge.queries.base import cents, query, rounded, table
 
 ORDER = ["ts", "event_id"]
@@ -87,6 +88,22 @@ def _(spark, d):
     return computed.cumulative_sum(events(spark, d), "c", "s", order_by=ORDER).select("event_id", "s")
 
 
+# Doubles times 2^75 are whole numbers here; the text of their sum is read as the nearest double.
+EXACT = "CAST(CAST(sum(CAST(value * pow(2::DOUBLE, 75) AS HUGEINT)) {over} AS VARCHAR) AS DOUBLE) / pow(2::DOUBLE, 75)"
+
+
+@query("cumsum_exact", f"SELECT event_id, {EXACT.format(over='OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)')} AS s FROM events")
+def _(spark, d):
+    """Running total of doubles, each the double nearest to the true total."""
+    return computed.cumulative_sum(table(spark, d, "events"), "value", "s", order_by=ORDER, exact=True).select("event_id", "s")
+
+
+@query("totals_exact", f"SELECT user_id, {EXACT.format(over='')} AS value_total, {EXACT.format(over='')} / count(value) AS value_mean FROM events GROUP BY user_id")
+def _(spark, d):
+    """Totals and means of doubles per group that do not depend on the order of rows."""
+    return exact_totals(table(spark, d, "events"), ["value"], ["user_id"])
+
+
 @query(
     "cumsum_nulls",
     f"""SELECT event_id, CASE WHEN c IS NOT NULL THEN CAST(sum(c) OVER w AS BIGINT) END AS s,
