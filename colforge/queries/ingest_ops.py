@@ -349,22 +349,9 @@ def _(spark, d):
     return run_sql(spark, "SELECT n_name, r_name FROM natural_nation NATURAL JOIN natural_region")
 
 
-@query("sql_recursive", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step FROM orders WHERE o_custkey <= 50")
-def _(spark, d):
-    """Each order of a customer reached from the one before it, by recursion."""
-    table(spark, d, "orders").where("o_custkey <= 50").createOrReplaceTempView("recursive_orders")
-    return run_sql(
-        spark,
-        """WITH RECURSIVE linked AS (SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM recursive_orders),
-        steps AS (SELECT o_custkey, o_orderkey, CAST(1 AS BIGINT) AS step FROM linked WHERE before IS NULL
-          UNION ALL SELECT l.o_custkey, l.o_orderkey, s.step + 1 FROM steps s JOIN linked l ON l.o_custkey = s.o_custkey AND l.before = s.o_orderkey)
-        SELECT o_custkey, o_orderkey, step FROM steps""",
-    )
-
-
 @query("sql_recursive_all", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step FROM orders")
 def _(spark, d):
-    """sql_recursive over all orders: as many rounds as the customer with the most orders has."""
+    """Each order of a customer reached from the one before it, by recursion: as many rounds as the customer with the most orders has."""
     # The links are written once, since each round of the recursion reads them again.
     linked = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.expr("lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)").alias("before"))
     materialize(linked).createOrReplaceTempView("recursive_links")
