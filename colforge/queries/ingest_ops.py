@@ -16,7 +16,7 @@ from colforge.query import describe_table, run_sql
 from colforge.session import materialize
 from colforge.sources import arrow_ipc, project
 from colforge.sources.csv_ingest import LINE, CsvOptions, check_field_count, read_csv, read_folder, read_simple
-from colforge.streaming import streams
+from colforge.streaming import keyed_state, streams
 
 # --- exact values ---------------------------------------------------------------------------------
 
@@ -405,6 +405,29 @@ def _(spark, d):
     return spark.read.parquet(f"{out}/rows").select("event_id", "delta", "total")
 
 
+@query(
+    "stream_keyed_state",
+    """SELECT event_id, c - lag(c) OVER w AS delta, CAST(sum(c) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total
+    FROM (SELECT *, CASE WHEN user_id % 3 > 0 THEN user_id END AS u, CAST(round(value * 100) AS BIGINT) AS c FROM events)
+    WINDOW w AS (PARTITION BY u ORDER BY ts, event_id)""",
+)
+def _(spark, d):
+    """Running figures per key from the state store: a query stopped and started again twice, a third of the rows under NULL."""
+    out = scratch(spark)
+    df = table(spark, d, "events").select("event_id", "ts", F.when(F.col("user_id") % 3 > 0, F.col("user_id")).alias("u"), cents("value").alias("c"))
+    cuts = df.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), [1 / 3, 2 / 3])).first()[0]
+    if cuts is None:
+        return df.select("event_id", F.lit(None).cast("long").alias("delta"), F.lit(None).cast("long").alias("total"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    part = F.when(at < cuts[0], 0).when(at < cuts[1], 1).otherwise(2)
+    for k in range(3):  # what arrives between two runs
+        df.where(part == k).write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{out}/in")
+        writer = keyed_state.keyed_totals(stream, "c", keys=["u"], order_by=["ts", "event_id"], output=f"{out}/rows")
+        keyed_state.drain(spark, writer, f"{out}/cp")
+    return spark.read.parquet(f"{out}/rows").select("event_id", "delta", "total")
+
+
 @query("stream_csv", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def _(spark, d):
     """New CSV files of a folder as a typed stream."""
