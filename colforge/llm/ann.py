@@ -4,7 +4,7 @@ Vectors are dealt to shards of about SHARD_ROWS by a hash of their id, whatever
 layers: every vector is in the lowest one, a share 1/LINKS of them in the next, and so on; a layer links each vector to
 near ones that lie in different directions. Graphs are stored as flat arrays, one row per shard, in the shared folder: a
 shard is built once and searched by any number of query blocks. A search walks down the layers and widens to BREADTH
-candidates in the lowest; the distances of what it returns are exact, in double precision on the stored vectors.
+candidates in the lowest; the distances of what it returns are exact, in double precision on the stored vectors. Inside a graph vectors are centred and scaled, so neither their offset nor their size matters.
 
 Every query visits every shard, in blocks of QUERY_BLOCK queries, and brings back its few nearest per shard.
 
@@ -32,21 +32,35 @@ BUILD_BREADTH = 64
 BREADTH = 256
 SHARD_ROWS = 16384
 QUERY_BLOCK = 2048
+FAR = 1e15
 
 
 class Graph:
     """Layers of links as arrays of LINKS (lowest layer: LINKS_BELOW) columns, -1 where there is none."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x.astype(np.float32)
-        self.square = (self.x * self.x).sum(1)
+        # Centred and scaled in double precision, so that float32 keeps what tells vectors far from the origin apart.
+        self.size = float(np.abs(x).max()) if x.size else 1.0
+        scaled = x.astype(np.float64) / self.size
+        self.middle = scaled.mean(0) if len(x) else 0.0
+        scaled -= self.middle
+        self.spread = float(np.abs(scaled).max()) if x.size else 1.0
+        self.spread = self.spread or 1.0
+        self.x = (scaled / self.spread).astype(np.float32)
         self.layers: list[np.ndarray] = []
         self.entry = -1
         self._seen = np.zeros(len(x), np.int64)
         self._stamp = 0
 
+    def place(self, v: np.ndarray) -> np.ndarray:
+        """A vector in the coordinates of the graph; from farther than FAR of them only its direction tells."""
+        with np.errstate(over="ignore"):
+            return np.clip((v / self.size - self.middle) / self.spread, -FAR, FAR).astype(np.float32)
+
     def _distance(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return self.square[at] - 2 * (self.x[at] @ q)
+        """Squared distances, from differences: nothing cancels, however far apart the clusters are."""
+        apart = self.x[at] - q
+        return np.einsum("ij,ij->i", apart, apart)
 
     def _descend(self, q: np.ndarray, at: int, layer: int) -> int:
         """The nearest vector that greedy steps reach."""
@@ -98,14 +112,14 @@ class Graph:
         if len(at) <= most:
             return at
         x = self.x[at]
-        apart = self.square[at][:, None] + self.square[at][None] - 2 * (x @ x.T)
         nearest, chosen, rest = np.full(len(at), np.inf, np.float32), [], []
         for k in range(len(at)):
             if distances[k] < nearest[k]:
                 chosen.append(k)
                 if len(chosen) == most:
                     break
-                np.minimum(nearest, apart[k], out=nearest)
+                apart = x - x[k]
+                np.minimum(nearest, np.einsum("ij,ij->i", apart, apart), out=nearest)
             else:
                 rest.append(k)
         return at[chosen + rest[: most - len(chosen)]]
@@ -115,14 +129,13 @@ class Graph:
         top = -1
         for node, level in enumerate(levels.tolist()):
             q, at = self.x[node], self.entry
-            own = float(self.square[node])
             for layer in range(top, level, -1):
                 at = self._descend(q, at, layer)
             for layer in range(min(top, level), -1, -1):
                 found = self._around(q, at, layer, BUILD_BREADTH)
                 at = found[0][1]
                 near = np.array([n for _, n in found])
-                chosen = self._choose(np.array([d for d, _ in found]) + own, near, LINKS)
+                chosen = self._choose(np.array([d for d, _ in found]), near, LINKS)
                 links = self.layers[layer]
                 links[node, : len(chosen)] = chosen
                 for other in chosen.tolist():
@@ -132,7 +145,7 @@ class Graph:
                         row[free[0]] = node
                         continue
                     rivals = np.append(row, node)
-                    d = self._distance(self.x[other], rivals) + self.square[other]
+                    d = self._distance(self.x[other], rivals)
                     order = np.argsort(d, kind="stable")
                     row[:] = self._choose(d[order], rivals[order], len(row))
             if level > top:
@@ -146,6 +159,16 @@ class Graph:
         return np.array([n for _, n in self._around(q, at, 0, max(breadth, k))[: 2 * k + 8]])
 
 
+def _euclid(apart: np.ndarray) -> np.ndarray:
+    """Lengths in double precision; where squares leave its range, of the scaled differences."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        length = np.sqrt((apart**2).sum(1))
+        most = np.abs(apart).max(1)
+        beyond = np.isinf(length) & np.isfinite(most)
+        length[beyond] = most[beyond] * np.sqrt(((apart[beyond] / most[beyond, None]) ** 2).sum(1))
+    return length
+
+
 def _levels(ids: np.ndarray) -> np.ndarray:
     """Layer of each vector, from a hash of its id: the same graph on every retry."""
     chance = np.array([(xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True)) + 1) / 2.0**64 for i in ids])
@@ -209,8 +232,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, breadth: int = BREADTH)
             graph.layers = [np.frombuffer(b, "<i4").reshape(len(ids), -1) for b in row["links"]]
             for query, v in zip(asked["query_id"].to_pylist(), asked["v"].to_pylist()):
                 q = np.array(v, np.float64)
-                at = graph.search(q.astype(np.float32), k, breadth)
-                score = np.sqrt(((x[at].astype(np.float64) - q) ** 2).sum(1))
+                at = graph.search(graph.place(q), k, breadth)
+                score = _euclid(x[at].astype(np.float64) - q)
                 best = np.lexsort((ids[at], score))[:k]
                 out[0].extend([query] * len(best))
                 out[1].extend(ids[at][best].tolist())
