@@ -241,7 +241,7 @@ def _(spark, d):
 
     df.mapInArrow(write, "n long").agg(F.sum("n")).first()
     arrow_ipc.register(spark)
-    return spark.read.format("arrow_ipc").option("layout", "stream").load(path).select(*columns)
+    return spark.read.format("arrow_ipc").option("layout", "stream").option("part_bytes", "131072").load(path).select(*columns)
 
 
 @query("arrow_unsigned", "SELECT o_orderkey, 9223372036854775808::DECIMAL(20,0) + o_orderkey AS big FROM orders")
