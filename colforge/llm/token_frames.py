@@ -197,8 +197,9 @@ def read_frames(manifest: DataFrame) -> DataFrame:
                         )
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, file_no int, place long"
-    # The window has left all rows in one task; a file is a task again from here on.
-    spread = files.repartition(F.col("path"))
+    # The window has left all rows in one task; a file is a task again from here on. The number is given, since adaptive
+    # execution would put the few bytes of the manifest, and with them all files, back into one task.
+    spread = files.repartitionByRange(max(1, manifest.count()), "file_no")
     return spread.mapInArrow(read, schema)
 
 
