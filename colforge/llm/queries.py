@@ -100,7 +100,7 @@ def op8_url_filter(spark, sf_dir):
 def op9_quotations(spark, sf_dir):
     from colforge.llm.quotes import conversations
 
-    return conversations(table(spark, sf_dir, "conversations"))
+    return conversations(table(spark, sf_dir, "conversations"), any_conversation=True)
 
 
 @query("op7_nearest_vectors")

@@ -1,10 +1,18 @@
 """Quotation linking: who answers whom in conversations, from the passages that messages quote.
 
 A line that begins with one or more `>` is quoted, as deep as it has marks (spaces between them do not count). Lines of
-one depth in a row are a passage. Passages are normalised (marks and white space reduced, A-Z lower-cased) and hashed,
-and so are the whole unquoted text of every message, each of its paragraphs and each of its lines. A quoted passage
-belongs to the first message of its conversation that says it, else to the first one anywhere; only an earlier turn
-counts within a conversation. A message answers the original of its shallowest linked passage, of several the latest.
+one depth in a row are a passage; lines of nothing but marks and white space do not count. Lines are normalised (marks
+cut off, white space reduced, A-Z lower-cased) and hashed. A message says a passage when
+
+- the passage's lines stand one after another among the message's own lines (quoted and blank lines between them do not
+  count), wherever they begin, or
+- the passage's words are those of its whole unquoted text, of one of its paragraphs, of a stretch between two quotes
+  or of one line, so that a quote with other line breaks is found too.
+
+A quoted passage belongs to the first message of its conversation that says it, if that is an earlier turn; else to the
+first message of another conversation. A message answers the original of its shallowest linked passage, of several the
+latest. By default other conversations count only when their id is smaller (ids in the order of time); with
+`any_conversation` every one counts, and where answers would form a circle its smallest message answers nothing.
 
 Each message gets its text without quotes, the message it answers, the root of its thread and its depth there (by
 pointer doubling, a few narrow columns per round), and its position in the conversation by (thread root, depth, turn):
@@ -17,67 +25,165 @@ scan over all rows, so that one conversation may hold a third of them. Other col
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from hashlib import blake2b
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colforge.llm.common import lower_ascii, materialize
+from colforge.llm.common import by_batch, materialize
 from colforge.operators.computed import row_id
 
-MARKS = r"^[ \t]*>[> \t]*"
-
-
-def _normal(text: Column) -> Column:
-    return lower_ascii(F.trim(F.regexp_replace(text, r"[\x00-\x20]+", " ")))
-
-
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")
-
-
-def _depth(line: Column) -> Column:
-    """Number of quotation marks in front of a line."""
-    return F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 0), r"[^>]", ""))
+LINE_BREAK = re.compile(r"\r\n|\r|\n")
+MARKS = re.compile(r"^[ \t]*>[> \t]*")
+BLANK = re.compile(r"[\x00-\x20]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+DIGEST = 16  # bytes of a line's hash
+
+
+def _normal(text: str) -> str:
+    return BLANK.sub(" ", text).strip(" ").translate(LOWER)
+
+
+def _digest(text: str) -> bytes:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=DIGEST).digest()
+
+
+def _parse_text(text: str) -> tuple[str, list[bytes], bytes, list[tuple[int, bytes, bytes]]]:
+    """Body, digests of what the message says as a unit, digests of its own lines, and passages (depth, said, lines)."""
+    own, own_lines, units, passages = [], [], set(), []
+    stretch: list[str] = []  # own lines since the last quote
+    paragraph: list[str] = []  # own lines since the last blank one
+    quoted: list[str] = []
+    depth = 0
+
+    def close(lines):
+        if lines:
+            units.add(" ".join(lines))
+            lines.clear()
+
+    def end_passage():
+        if quoted:
+            passages.append((depth, _digest(" ".join(quoted)), b"".join(map(_digest, quoted))))
+            quoted.clear()
+
+    for line in LINE_BREAK.split(text):
+        marks = MARKS.match(line)
+        now = marks.group().count(">") if marks else 0
+        if now != depth:
+            end_passage()
+        depth = now
+        said = _normal(line[marks.end() :] if marks else line)
+        if now:
+            close(stretch)
+            if said:
+                quoted.append(said)
+            continue
+        own.append(line)
+        if not said:
+            close(paragraph)
+            continue
+        own_lines.append(said)
+        stretch.append(said)
+        paragraph.append(said)
+    end_passage()
+    units.update([" ".join(own_lines), *own_lines])
+    close(stretch)
+    close(paragraph)
+    units.discard("")
+    return "\n".join(own).strip(" "), sorted(map(_digest, units)), b"".join(map(_digest, own_lines)), passages
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Adds body (the text without quoted lines) and passages (array of depth and normalised text) to each message."""
-    lines = F.transform(_lines(F.col("text")), lambda x: F.struct(_depth(x).alias("d"), F.regexp_replace(x, MARKS, "").alias("s"), x.alias("raw")))
-    own = F.transform(F.filter("__lines", lambda x: x["d"] == 0), lambda x: x["raw"])
-    # Runs of one depth: a line joins the last run when the depth is the same.
-    empty = F.array().cast("array<struct<d:int,s:string>>")
-
-    def grow(runs: Column, line: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        same = (F.size(runs) > 0) & (last["d"] == line["d"])
-        joined = F.array(F.struct(line["d"].alias("d"), F.concat_ws("\n", last["s"], line["s"]).alias("s")))
-        longer = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), joined)
-        return F.when(same, longer).otherwise(F.concat(runs, F.array(F.struct(line["d"].alias("d"), line["s"].alias("s")))))
-
-    quoted = F.when(F.coalesce(F.col("text"), F.lit("")).rlike(r"(?m)^[ \t]*>"), F.aggregate("__lines", empty, grow)).otherwise(empty)
-    passages = F.transform(F.filter(quoted, lambda r: r["d"] > 0), lambda r: F.struct(r["d"].alias("depth"), _normal(r["s"]).alias("said")))
-    body = F.when(F.col("text").isNotNull(), F.trim(F.concat_ws("\n", own)))
-    return messages.withColumn("__lines", lines).withColumns({"body": body, "passages": F.filter(passages, lambda p: p["said"] != "")}).drop("__lines")
-
-
-def link(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, body (the text without quoted lines), units, own and passages (see `_parse_text`)."""
+
+    def run(batch: pa.RecordBatch):
+        parsed = [(None, [], b"", []) if t is None else _parse_text(t) for t in batch.column("text").to_pylist()]
+        body, units, own, passages = zip(*parsed)
+        passages = [[{"depth": d, "said": k, "lines": x} for d, k, x in found] for found in passages]
+        passage = pa.struct([("depth", pa.int32()), ("said", pa.binary()), ("lines", pa.binary())])
+        found = [pa.array(body, pa.string()), pa.array(units, pa.list_(pa.binary())), pa.array(own, pa.binary()), pa.array(passages, pa.list_(passage))]
+        names = ["conv_id", "turn", "role"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *found], names=[*names, "body", "units", "own", "passages"])
+
+    rows = messages.select("conv_id", "turn", "role", "text")
+    role = rows.schema["role"].dataType.simpleString()
+    kinds = f"conv_id long, turn long, role {role}, body string, units array<binary>, own binary, passages array<struct<depth:int,said:binary,lines:binary>>"
+    return rows.mapInArrow(by_batch(run), kinds)
+
+
+def _line(lines, at):
+    return F.substring(lines, at * DIGEST + 1, F.lit(DIGEST))
+
+
+def _runs_of_lines(named: DataFrame, passages: DataFrame) -> DataFrame:
+    """(k, conv_id, turn): runs of own lines that are as long as some quoted passage and begin like it.
+
+    A line meets one row per quoted first line, which lists the lengths of the passages that begin so; messages with
+    such lines then hash the runs in place. Nothing grows with passages x messages.
+    """
+    n = (F.length("lines") / DIGEST).cast("int")
+    begin = passages.select(_line(F.col("lines"), F.lit(0)).alias("line"), n.alias("n")).where("n > 1").groupBy("line").agg(F.collect_set("n").alias("sizes"))
+    texts = named.where(F.length("own") > DIGEST).select("conv_id", "turn", "own", F.sha1("own").alias("x")).dropDuplicates(["conv_id", "turn", "x"])
+    size = (F.length("own") / DIGEST).cast("int")
+    lines = F.transform(F.sequence(F.lit(0), size - 2), lambda at: F.struct(at.alias("at"), (size - at).alias("rest"), _line(F.col("own"), at).alias("line")))
+    lines = texts.select("conv_id", "turn", "x", F.explode(lines).alias("l")).select("conv_id", "turn", "x", "l.at", "l.rest", "l.line")
+    starts = lines.join(begin, "line").withColumn("sizes", F.filter("sizes", lambda s: s <= F.col("rest"))).where(F.size("sizes") > 0)
+    starts = starts.groupBy("conv_id", "turn", "x").agg(F.collect_list(F.struct("at", "sizes")).alias("starts"))
+    whole = texts.join(starts, ["conv_id", "turn", "x"]).select("conv_id", "turn", "own", F.explode("starts").alias("s"))
+    whole = whole.select("conv_id", "turn", "own", F.col("s.at").alias("at"), F.explode("s.sizes").alias("n"))
+    run = F.substring(F.col("own"), F.col("at") * DIGEST + 1, F.col("n") * DIGEST)
+    return whole.select(F.unhex(F.sha1(run)).alias("k"), "conv_id", "turn")
+
+
+def link(messages: DataFrame, any_conversation: bool = False) -> DataFrame:
     """(conv_id, turn, to_conv, to_turn): each message with the one that it answers; messages that quote nothing are absent."""
-    key = lambda c: F.struct(F.xxhash64(c).alias("h"), F.sha1(c.cast("binary")).alias("s"))
-    named = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "body", "passages")
+    named = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "units", "own", "passages")
     quotes = named.where(F.size("passages") > 0).select("conv_id", "turn", F.explode("passages").alias("p"))
-    quotes = materialize(quotes.select("conv_id", "turn", F.col("p.depth").alias("depth"), key(F.col("p.said")).alias("k")).distinct())
+    passages = materialize(quotes.select("conv_id", "turn", "p.depth", "p.said", "p.lines").distinct())
+    # A passage has two keys: its words, and its lines where it has several.
+    keys = F.array_compact(F.array("said", F.when(F.length("lines") > DIGEST, F.unhex(F.sha1("lines")))))
+    quotes = passages.select("conv_id", "turn", "depth", "said", F.explode(keys).alias("k")).distinct()
     wanted = quotes.select("k").distinct()
-    said = F.array_distinct(F.concat(F.array("body"), F.split("body", r"\n[ \t]*\n"), F.split("body", r"\n")))
-    originals = named.where("body <> ''").select("conv_id", "turn", F.explode(said).alias("x")).select("conv_id", "turn", _normal(F.col("x")).alias("x")).where("x <> ''")
+    originals = named.select(F.explode("units").alias("k"), "conv_id", "turn").unionByName(_runs_of_lines(named, passages))
     # Only what somebody quotes goes on; the first message that says it is a minimum, whatever the number of messages.
-    originals = materialize(originals.select("conv_id", "turn", key(F.col("x")).alias("k")).join(wanted, "k", "left_semi").groupBy("k", "conv_id").agg(F.min("turn").alias("t")))
-    within = quotes.join(originals, ["k", "conv_id"], "left").where("t IS NULL OR t < turn")
-    anywhere = originals.groupBy("k").agg(F.min(F.struct("conv_id", "t")).alias("first"))
-    near = within.where("t IS NOT NULL").select("conv_id", "turn", "depth", F.col("conv_id").alias("to_conv"), F.col("t").alias("to_turn"))
-    far = within.where("t IS NULL").join(anywhere, "k").select("conv_id", "turn", "depth", F.col("first.conv_id").alias("to_conv"), F.col("first.t").alias("to_turn"))
-    # Links to other conversations only lead to smaller ones, so that answers never form a circle.
-    far = far.where("to_conv < conv_id")
-    best = F.max(F.struct((-F.col("depth")).alias("d"), "to_conv", "to_turn")).alias("b")
-    return near.unionByName(far).groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", "b.to_conv", "b.to_turn")
+    originals = materialize(originals.join(wanted, "k", "left_semi").groupBy("k", "conv_id").agg(F.min("turn").alias("t")))
+    # The first conversations that say it: one row per key, the second one for quotes in the first.
+    first = originals.groupBy("k").agg(F.min(F.struct("conv_id", "t")).alias("first"))
+    second = originals.join(first, "k").where(F.col("conv_id") > F.col("first.conv_id")).groupBy("k").agg(F.min(F.struct("conv_id", "t")).alias("second"))
+    elsewhere = first.join(second, "k", "left")
+    found = quotes.join(originals, ["k", "conv_id"], "left").join(elsewhere, "k", "left")
+    other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
+    if not any_conversation:
+        other = F.when(other["conv_id"] < F.col("conv_id"), other)
+    near = F.min(F.when(F.col("t") < F.col("turn"), F.struct("conv_id", "t")))
+    best = found.groupBy("conv_id", "turn", "depth", "said").agg(F.coalesce(near, F.min(other)).alias("to")).where("to IS NOT NULL")
+    best = best.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("depth")).alias("d"), "to.conv_id", "to.t")).alias("b"))
+    links = best.select("conv_id", "turn", F.col("b.conv_id").alias("to_conv"), F.col("b.t").alias("to_turn"))
+    return _without_circles(materialize(links)) if any_conversation else links
+
+
+def _without_circles(links: DataFrame) -> DataFrame:
+    """Drops the link of the smallest message of every circle.
+
+    Every message has at most one link. After k rounds `at` is where 2^k steps lead and `least` the smallest message on
+    the way; messages whose way ends are gone. Once the places reached are as many as before, all of them lie on circles,
+    and once no `least` has moved the ways go all around.
+    """
+    if links.where("to_conv > conv_id").isEmpty():
+        return links  # every link leads to a smaller message
+    here, there = F.struct("conv_id", "turn"), F.struct(F.col("to_conv").alias("conv_id"), F.col("to_turn").alias("turn"))
+    now, mark = links.select(here.alias("v"), there.alias("at"), here.alias("least")), None
+    while True:
+        up = now.select(F.col("v").alias("at"), F.col("at").alias("next"), F.col("least").alias("other"))
+        now = materialize(now.join(up, "at").select("v", F.col("next").alias("at"), F.least("least", "other").alias("least")))
+        reached = now.select("at").distinct()
+        before, mark = mark, (reached.count(), *now.agg(F.count("*"), F.expr("bit_xor(xxhash64(v, least))")).first())
+        if mark == before:
+            break
+    cut = now.where("v = least").join(reached.withColumnRenamed("at", "v"), "v", "left_semi").select("v.conv_id", "v.turn")
+    return materialize(links.join(cut, ["conv_id", "turn"], "left_anti"))
 
 
 def threads(links: DataFrame) -> DataFrame:
@@ -92,10 +198,10 @@ def threads(links: DataFrame) -> DataFrame:
         now = materialize(joined.select("conv_id", "turn", F.coalesce("c", "root_conv").alias("root_conv"), F.coalesce("t", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
 
 
-def conversations(messages: DataFrame) -> DataFrame:
+def conversations(messages: DataFrame, any_conversation: bool = False) -> DataFrame:
     """conv_id, turn, role, text (without quotes), n_quotes, to_conv, to_turn, root_conv, root_turn, depth, position."""
     parsed = materialize(parse(messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text"))))
-    links = materialize(link(parsed))
+    links = materialize(link(parsed, any_conversation))
     rows = parsed.select("conv_id", "turn", "role", F.col("body").alias("text"), F.size("passages").alias("n_quotes"))
     rows = rows.join(links, ["conv_id", "turn"], "left").join(threads(links), ["conv_id", "turn"], "left")
     rows = rows.withColumns({"root_conv": F.coalesce("root_conv", "conv_id"), "root_turn": F.coalesce("root_turn", "turn"), "depth": F.coalesce("depth", F.lit(0).cast("long"))})
