@@ -7,18 +7,29 @@ blocks all its aliases. An explicit rule takes precedence: a url whose own rule
 and without a blocked alias a page is allowed.
 
 The components are found by distributed contraction; nothing of them is collected. Urls without edges take no part, and
-equal urls (A-Z of scheme and host lower-cased, fragment cut off) are one node. Null urls, or urls without `://`, have
-an empty host and path, fit no rule and have no edges; null html has no links. Repeated rows get equal verdicts.
+equal urls (A-Z of scheme and host lower-cased, an empty path as `/`, dot segments resolved, fragment cut off) are one
+node. Links are made absolute as in a browser: entities decoded, against `<base href>` or the page, with dot segments and
+query-only links; a link with an impossible host is none. Rules judge urls as they stand, nodes by their normal form. Null
+urls, or urls without `://`, have an empty host and path, fit no rule and have no edges; null html has no links. Repeated
+rows get equal verdicts. Very long html is read whole, page by page, and only where it has such a tag.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from html import unescape
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colforge.llm.common import components, lower_ascii, materialize
+from colforge.llm.common import by_batch, components, lower_ascii, materialize
+
+TAG = re.compile(r"""<(?:link|meta|base)\b(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>""", re.I)
+ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+REFRESH = re.compile(r"url\s*=\s*(.*)$", re.I | re.S)
 
 Rule = tuple[str, str, str]  # host, beginning of the path, "block" or "allow"
 
@@ -32,9 +43,25 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """The url as a node: scheme and host in lower case, without the fragment; null without `://`."""
+    """The url as a node: scheme and host in lower case, `/` for an empty path, dot segments resolved, no fragment; null without `://`."""
     head = lower_ascii(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1))
-    return F.when(url.contains("://"), F.concat(head, F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)))
+    path = path_of(url)
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    path = F.when(path == "", "/").when(path.rlike(r"/\.\.?(?:/|$)"), _without_dots(path)).otherwise(path)
+    return F.when(url.contains("://"), F.concat(head, path, query))
+
+
+def _without_dots(path: Column) -> Column:
+    """`.` and `..` segments of a path that begins with `/`, resolved; those above the root are cut off."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+
+    def step(held: Column, part: Column) -> Column:
+        up = F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", held).otherwise(F.concat(held, F.array(part)))
+
+    held = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
+    return F.concat(F.array_join(held, "/"), F.when((last == ".") | (last == "..") | (F.size(held) == 1), "/").otherwise(""))
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -46,34 +73,42 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return reduce(lambda rest, k: F.when(fits[k], answer[k]).otherwise(rest), range(len(ordered) - 1, -1, -1), nothing)
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    found = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
-    return F.trim(F.regexp_replace(F.regexp_replace(found, r"(?is)^\w+\s*=\s*", ""), r"""^["']|["']$""", ""))
+def _links(page: str, html: str) -> list[str]:
+    """Targets of the canonical links and redirects of a page, made absolute; malformed ones are none."""
+    found, base = [], page
+    for tag in TAG.findall(html):
+        named = {k.lower(): unescape(v[1:-1] if v[:1] in "\"'" else v).strip() for k, v in ATTRIBUTE.findall(tag)}
+        kind = tag[1:5].lower()
+        if kind == "base" and base is page and named.get("href"):
+            base = _resolved(page, named["href"]) or page
+        elif kind == "link" and "canonical" in named.get("rel", "").lower().split():
+            found.append(named.get("href", ""))
+        elif kind == "meta" and named.get("http-equiv", "").lower() == "refresh":
+            target = REFRESH.search(named.get("content", ""))
+            found.append(target.group(1).strip().strip("\"'") if target else "")
+    resolved = (_resolved(base, link) for link in found if link)
+    return [link for link in resolved if link]
 
 
-def _absolute(link: Column, url: Column) -> Column:
-    """A link against its page: absolute, without scheme, or from the root; others stay within the page's folder."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(url, r"(?s)^(.*?://[^?#]*/)", 1)
-    folder = F.when(F.length(folder) > F.length(root), folder).otherwise(F.concat(root, F.lit("/")))
-    return (
-        F.when(link.contains("://"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .when(link != "", F.concat(folder, link))
-    )
+def _resolved(base: str, link: str) -> str | None:
+    try:
+        return urljoin(base, link)
+    except ValueError:  # brackets in the host that are no address
+        return None
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): urls of one resource, from canonical links and redirects in the html."""
-    tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
-    rows = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)")).select("url", F.explode(tags).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"), _attribute(F.col("tag"), "href"))
-    target = F.trim(F.regexp_replace(F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*(.*)$", 1), r"""^["']|["']$""", ""))
-    redirect = F.when(F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), target)
-    link = F.coalesce(canonical, redirect)
-    edges = rows.select(node_of(F.col("url")).alias("a"), node_of(_absolute(link, F.col("url"))).alias("b"))
+
+    def run(batch: pa.RecordBatch):
+        rows = [(u, link) for u, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for link in _links(u, html)]
+        columns = list(zip(*rows)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["url", "link"])
+
+    rows = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)"))
+    rows = rows.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    links = materialize(rows.mapInArrow(by_batch(run), "url string, link string"))
+    edges = links.select(node_of(F.col("url")).alias("a"), node_of(F.col("link")).alias("b"))
     return edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
 
 
