@@ -139,7 +139,9 @@ class ColumnType:
     order: str | None = None
 
 
-def infer_types(df: DataFrame, headers: Sequence[str] | None = None, kinds: Sequence[str] = TYPES) -> dict[str, ColumnType]:
+def infer_types(
+    df: DataFrame, headers: Sequence[str] | None = None, kinds: Sequence[str] = TYPES, declared: dict[str, str] | None = None
+) -> dict[str, ColumnType]:
     """Types of text columns whose null tokens are already NULL.
 
     First match wins: boolean, integer, real, datetime, date, time, text. A unit in the header turns a
@@ -147,12 +149,29 @@ def infer_types(df: DataFrame, headers: Sequence[str] | None = None, kinds: Sequ
 
     The shapes of the first rows rule out most types of most columns; one aggregate over `df` then tests
     only what is left.
+
+    `declared` names columns of `df` that are `date` or `datetime` whatever their cells; the same aggregate finds the order
+    of day and month that reads all their dates. A column with dates of both orders is refused.
     """
+    declared = declared or {}
     units = [header_unit(h) for h in (headers or df.columns)]
-    head = df.take(FIRST_LOOK)
-    possible = [_possible([r[i].strip(" ") for r in head if r[i] is not None], u) for i, u in enumerate(units)]
-    row = _facts(df, units, possible)
-    return {c: _decide(row[i].asDict(), units[i], kinds) for i, c in enumerate(df.columns)}
+    head = df.take(FIRST_LOOK) if len(declared) < len(df.columns) else []
+    possible = [
+        [] if c in declared else _possible([r[i].strip(" ") for r in head if r[i] is not None], u) for i, (c, u) in enumerate(zip(df.columns, units))
+    ]
+    row = _facts(df, units, possible, declared)
+    names = dict(zip(df.columns, headers or df.columns))
+    return {
+        c: _declared_order(names[c], declared[c], row[i].asDict()) if c in declared else _decide(row[i].asDict(), units[i], kinds)
+        for i, c in enumerate(df.columns)
+    }
+
+
+def _declared_order(name: str, kind: str, fact: dict) -> ColumnType:
+    fit = [o for o in ORDERS if fact[f"{kind}_{o}"] is not False]
+    if not fit:
+        raise ValueError(f"column {name!r} has dates with the day first and others with the month first; declare ColumnType({kind!r}, order=...)")
+    return ColumnType(kind, order=fit[0])
 
 
 def _possible(values: list[str], unit: str | None) -> list[str]:
@@ -181,7 +200,7 @@ def _test(text: Column, kind: str, unit: str | None) -> Column:
     return convert(text, kind).isNotNull()
 
 
-def _facts(df: DataFrame, units, possible):
+def _facts(df: DataFrame, units, possible, declared):
     """Per column: filled cells, fraction digits, and for each type still possible whether all cells have it."""
     facts = []
     for i, c in enumerate(df.columns):
@@ -196,6 +215,9 @@ def _facts(df: DataFrame, units, possible):
         # Do all cells agree on one order of day and month?
         parsers = {"date": parse_date, "datetime": parse_instant}
         fields += [F.bool_and(F.when(value.isNotNull(), parsers[k](text, order).isNotNull())).alias(f"{k}_{order}") for k in parsers if k in possible[i] for order in ORDERS]
+        if c in declared:  # cells that are no date in any order do not count
+            read = parsers[declared[c]]
+            fields += [F.bool_and(F.when(read(text).isNotNull(), read(text, order).isNotNull())).alias(f"{declared[c]}_{order}") for order in ORDERS]
         facts.append(F.struct(*fields).alias(f"c{i}"))
     return df.agg(*facts).first()
 

@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from colforge.functions.infer import convert, infer_types, invalid_values, pad_times
+from colforge.functions.infer import ColumnType, convert, infer_types, invalid_values, pad_times
 from colforge.operators import groups, stats, timebin
 from colforge.operators.duplicates import DuplicateGroups
 from colforge.queries.base import cents, query, table
@@ -15,8 +15,8 @@ from colforge.queries.io_ops import scratch
 from colforge.query import describe_table, run_sql
 from colforge.session import materialize
 from colforge.sources import arrow_ipc, project
-from colforge.sources.csv_ingest import LINE, CsvOptions, check_field_count, read_csv, read_folder, read_simple
-from colforge.streaming import keyed_state, streams
+from colforge.sources.csv_ingest import LINE, CsvOptions, check_field_count, read_csv, read_folder, read_simple, wrong_field_counts
+from colforge.streaming import csv_tables, keyed_state, streams
 
 # --- exact values ---------------------------------------------------------------------------------
 
@@ -88,6 +88,15 @@ def _(spark, d):
     return text.select("o_orderkey", convert(F.col("t"), found.kind, found.order).alias("day"))
 
 
+@query("convert_dates_declared", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS TIMESTAMP) AS at FROM orders")
+def _(spark, d):
+    """Columns declared as date and datetime, month first in every cell, also in those where day first would fit."""
+    path = scratch(spark)
+    text = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("day"), F.date_format("o_orderdate", "MM/dd/yyyy HH:mm:ss").alias("at"))
+    project.export_csv(text, path)
+    return read_csv(spark, path, CsvOptions(types={"day": "date", "at": "datetime"})).rows.select("o_orderkey", "day", "at")
+
+
 # --- files ----------------------------------------------------------------------------------------
 
 
@@ -97,9 +106,9 @@ def _(spark, d):
     path = scratch(spark)
     df = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("s"))
     for part in (0, 1):
-        project.export_csv(df.where(f"s = 'F' AND k % 2 = {part}").coalesce(1), path, mode="append")
-    project.export_csv(df.where("s = 'O'").select("s", "k", "c").coalesce(1), path, mode="append")
-    project.export_csv(df.where("s = 'P'").withColumnRenamed("c", "other").coalesce(1), path, mode="append")
+        project.export_csv(df.where(f"s = 'F' AND k % 2 = {part}"), path, mode="append")
+    project.export_csv(df.where("s = 'O'").select("s", "k", "c"), path, mode="append")
+    project.export_csv(df.where("s = 'P'").withColumnRenamed("c", "other"), path, mode="append")
     # The header of most files names the columns.
     return read_csv(spark, path, CsvOptions(types={"s": "text"})).rows.select("k", "c", "s")
 
@@ -126,7 +135,16 @@ def _with_bad_lines(spark, d):
 
 def _write_lines(spark, d, path):
     """Every file begins with good lines: without a header the first line tells the number of fields."""
-    _with_bad_lines(spark, d).coalesce(2).sortWithinPartitions("bad").select("value").write.text(path)
+    _with_bad_lines(spark, d).sortWithinPartitions("bad").select("value").write.text(path)
+
+
+@query("csv_field_count_rows", "SELECT o_orderkey AS k, 4::BIGINT AS fields, count(*) OVER () AS bad_lines FROM orders WHERE o_orderstatus = 'P'")
+def _(spark, d):
+    """Every line with a wrong number of fields as a row; quoted delimiters do not count."""
+    path = scratch(spark)
+    _write_lines(spark, d, path)
+    bad = materialize(wrong_field_counts(spark, path, 3, CsvOptions(header_row=None, delimiter=",")))
+    return bad.select(F.substring_index("value", ",", 1).cast("long").alias("k"), "fields", F.lit(bad.count()).cast("long").alias("bad_lines"))
 
 
 @query(
@@ -438,6 +456,30 @@ def _(spark, d):
     return spark.read.parquet(f"{out}/rows")
 
 
+@query(
+    "stream_csv_rejects",
+    """SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 'field count' WHEN o_orderpriority = '1-URGENT' THEN 'comment' END AS reason,
+    CASE WHEN o_orderstatus <> 'P' AND o_orderpriority <> '1-URGENT' THEN CAST(o_orderdate AS DATE) END AS day FROM orders""",
+)
+def _(spark, d):
+    """A stream of CSV files into rows and rejects: every line comes out once, dates month first as the inference says."""
+    out = scratch(spark)
+    cells = [F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "MM/dd/yyyy")]
+    line = F.concat_ws(",", *cells)
+    line = F.when(F.col("o_orderstatus") == "P", F.concat(line, F.lit(",extra"))).when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("# "), line)).otherwise(line)
+    orders = table(spark, d, "orders")
+    # Bad lines among good ones. Every task writes a file, and the first of its rows brings the header along.
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    orders.select(F.when(first, F.concat(F.lit("k,day\n"), line)).otherwise(line).alias("value")).write.text(f"{out}/in")
+    types = {"k": ColumnType("integer"), "day": infer_types(orders.select(cells[1].alias("day")))["day"]}
+    writer = csv_tables.csv_to_tables(spark, f"{out}/in", types, f"{out}/rows", f"{out}/rejects", files_per_batch=64)
+    writer.option("checkpointLocation", f"{out}/cp").trigger(availableNow=True).start().awaitTermination()
+    good = spark.read.schema("k long, day date").parquet(f"{out}/rows").select("k", F.lit(None).cast("string").alias("reason"), "day")
+    bad = spark.read.schema("reason string, value string").parquet(f"{out}/rejects")
+    key = F.regexp_extract("value", r"^(?:# )?(\d+),", 1).cast("long")
+    return good.unionByName(bad.select(key.alias("k"), "reason", F.lit(None).cast("date").alias("day")))
+
+
 @query("group_equals_decimal", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 3 THEN 1 ELSE 0 END AS hit FROM orders")
 def _(spark, d):
     """Decimals compared with all their digits."""

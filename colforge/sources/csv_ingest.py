@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colforge.functions.infer import NULL_TOKENS, TYPES, ColumnType, blank_nulls, convert, infer_types
+from colforge.operators.computed import row_id
 from colforge.session import broadcast_if_small, materialize
 
 DELIMITERS = (",", "\t", ";", "|")
@@ -26,7 +27,7 @@ class CsvOptions:
     """`header_row` counts physical lines from 0; None means there is no header.
 
     `types` fixes types by column name (a kind, or a `ColumnType` with the order of day and month); other columns
-    are inferred from all rows. `columns` keeps some columns. `text_null_as_empty` gives '' instead of NULL in text.
+    are inferred from all rows, and so is the order of declared dates; dates of both orders in one column are refused. `columns` keeps some columns. `text_null_as_empty` gives '' instead of NULL in text.
     """
 
     header_row: int | None = 0
@@ -84,6 +85,16 @@ def table_name(path: str) -> str:
     return f"t_{name}" if name[0].isdigit() else name
 
 
+def split_lines(lines: DataFrame, folder: str, names: list[str], options: CsvOptions, delimiter: str) -> tuple[DataFrame, DataFrame]:
+    """(fields, rejects) of lines with their place: cells c0, c1, ... of `names` as texts, and the lines left out with the reason.
+
+    The files begin with a header each, which names the columns in any order; a file with other columns is rejected.
+    """
+    below, headers = _after_header(lines, folder, [], 0)
+    places = _places(names, headers, delimiter, options.quotes)
+    return _good_fields(below, len(names), options, delimiter, places), _rejects(below, len(names), options, delimiter, places)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their place: file, split and a number that rises within the split.
 
@@ -235,9 +246,10 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
     wanted = [i for i, n in enumerate(names) if o.columns is None or n in o.columns]
     fixed = {n: t if isinstance(t, ColumnType) else ColumnType(t) for n, t in o.types.items()}
     types = {names[i]: fixed[names[i]] for i in wanted if names[i] in fixed}
-    open_columns = [i for i in wanted if names[i] not in types]
+    dates = {f"c{i}": types[names[i]].kind for i in wanted if names[i] in types and types[names[i]].kind in ("date", "datetime") and not types[names[i]].order}
+    open_columns = [i for i in wanted if names[i] not in types or f"c{i}" in dates]
     if open_columns:
-        found = infer_types(cells.select(*[f"c{i}" for i in open_columns]), [names[i] for i in open_columns], o.kinds)
+        found = infer_types(cells.select(*[f"c{i}" for i in open_columns]), [names[i] for i in open_columns], o.kinds, dates)
         types |= {names[i]: found[f"c{i}"] for i in open_columns}
 
     def column(i):
@@ -272,6 +284,29 @@ def check_field_count(spark: SparkSession, path: str, expected: int, options: Cs
         raise ValueError(f"{facts['n']} lines do not have {expected} fields, first: {facts['first']['value'][:200]!r}")
 
 
+def wrong_field_counts(spark: SparkSession, path: str, expected: int, options: CsvOptions | None = None) -> DataFrame:
+    """The data lines with another number of fields than `expected`: place, `row` (number of the line in its file, from 1), `fields`, `value`.
+
+    Lines are numbered by a distributed scan, so that one long file may be counted by many tasks; blank lines, comments
+    and the lines up to the header count. A file whose lines all fit gives no row, so an import may be checked by it.
+    """
+    o = options or CsvOptions()
+    header_row = -1 if o.header_row is None else o.header_row
+    head = _first_lines(spark, path, max(header_row + 1, 1))
+    delimiter = o.delimiter or infer_delimiter(head[-1]["value"] if head else "")
+    lines = read_lines(spark, path)
+    wrong = _skipped(o.comment).isNull() & _fields(expected, delimiter, o.quotes)["bad"].isNotNull()
+    # Narrow rows are numbered: the text of a line goes along only where it is wrong.
+    marked = materialize(lines.select(*LINE, F.when(wrong, F.col("value")).alias("value")))
+    numbered = row_id(marked, "row", order_by=list(LINE))
+    first = numbered.groupBy("__file").agg(F.min("row").alias("__first"))
+    bad = numbered.where("value IS NOT NULL").join(broadcast_if_small(first), "__file")
+    bad = bad.withColumn("row", (F.col("row") - F.col("__first") + 1).cast("long")).where(F.col("row") > header_row + 1)
+    bare = F.regexp_replace("value", r'"[^"]*"', "") if o.quotes else F.col("value")
+    fields = F.size(F.split(bare, re.escape(delimiter), -1))
+    return bad.select(*LINE, "row", fields.cast("long").alias("fields"), "value")
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     """Files of a folder on any file system Spark can read; contents are not read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")

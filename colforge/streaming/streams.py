@@ -13,20 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colforge.functions.infer import NULL_TOKENS, SPARK_TYPES, blank_nulls, convert
+from colforge.functions.infer import NULL_TOKENS, SPARK_TYPES, ColumnType, blank_nulls, convert
 from colforge.functions.rows import row_hash, without
 from colforge.operators.timebin import bin_absolute
 from colforge.plans.ordered import OrderedScan, Previous, RunningSum
+from colforge.streaming.csv_tables import declared
 
 
-def csv_stream(spark: SparkSession, folder: str, types: dict[str, str], delimiter: str = ",", null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
-    """New CSV files of a folder as typed rows; the types come from an earlier inference."""
+def csv_stream(spark: SparkSession, folder: str, types: dict[str, str | ColumnType], delimiter: str = ",", null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
+    """New CSV files of a folder as typed rows; the types come from an earlier inference, with their order of day and month.
+
+    Lines with another number of fields are left out here; `csv_tables.csv_to_tables` keeps them beside the rows.
+    """
+    types = declared(types)
     text = T.StructType([T.StructField(c, T.StringType()) for c in types])
     lines = (
         spark.readStream.schema(text).option("sep", delimiter).option("header", True).option("comment", "#")
         .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("mode", "DROPMALFORMED").csv(folder)
     )
-    return lines.select(*[convert(blank_nulls(F.col(f"`{c}`"), null_tokens), k).cast(SPARK_TYPES[k]).alias(c) for c, k in types.items()])
+    return lines.select(*[convert(blank_nulls(F.col(f"`{c}`"), null_tokens), t.kind, t.order).cast(SPARK_TYPES[t.kind]).alias(c) for c, t in types.items()])
 
 
 def parquet_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", schema=None) -> DataFrame:
