@@ -1,4 +1,4 @@
-"""Exact medians without sorting or shuffling the table.
+"""Exact medians and other ranks without sorting or shuffling the table.
 
 An approximate percentile gives a narrow band, exact counts prove that the wanted rank lies in it, and
 the band shrinks until its distinct values fit a small answer. Every round is one aggregate for all columns.
@@ -79,15 +79,33 @@ def exact_integer_medians(df: DataFrame, columns: Sequence[str], band_values: in
     return out
 
 
+def exact_at_ranks(df: DataFrame, ranks: dict[str, int], band_values: int = BAND_VALUES) -> dict[str, float]:
+    """The value at a rank (from 0, below the number of its values) of each double column; NULL cells are left out, NaN is refused."""
+    names = {f"c{i}": c for i, c in enumerate(ranks)}
+    values = df.select(*[F.when(F.isnan(f"`{c}`"), F.raise_error(F.lit("NaN has no rank"))).otherwise(F.col(f"`{c}`")).cast("double").alias(n) for n, c in names.items()])
+    counts = values.agg(*[F.count(n).alias(n) for n in names]).first()
+    if short := [c for n, c in names.items() if not 0 <= ranks[c] < counts[n]]:
+        raise ValueError(f"no such rank in {short}")
+    found = _values_at(values, [(n, ranks[c]) for n, c in names.items()], counts, band_values)
+    return {c: found[n][0] for n, c in names.items()}
+
+
 def _middle_values(values: DataFrame, names: Sequence[str], counts, band_values: int) -> dict[str, list[float]]:
     """The one or two distinct ranks in the middle of each column, as values."""
-    near = [max(0.0, 0.5 - SLACK), min(1.0, 0.5 + SLACK)]
-    start = values.agg(*[F.struct(F.min(n), F.max(n), F.percentile_approx(n, near, ACCURACY)).alias(n) for n in names]).first()
+    wanted = [(n, rank) for n in names for rank in ({(counts[n] - 1) // 2, counts[n] // 2} if counts[n] else ())]
+    return {n: [] for n in names} | (_values_at(values, wanted, counts, band_values) if wanted else {})
+
+
+def _values_at(values: DataFrame, wanted: Sequence[tuple[str, int]], counts, band_values: int) -> dict[str, list[float]]:
+    """The values of the columns at their wanted ranks."""
+    names = list(dict.fromkeys(n for n, _ in wanted))
+    ranks = {n: [rank for m, rank in wanted if m == n] for n in names}
+    near = {n: [max(0.0, min(r) / counts[n] - SLACK), min(1.0, max(r) / counts[n] + SLACK)] for n, r in ranks.items()}
+    start = values.agg(*[F.struct(F.min(n), F.max(n), F.percentile_approx(n, near[n], ACCURACY)).alias(n) for n in names]).first()
     targets = []
-    for n in names:
-        for rank in {(counts[n] - 1) // 2, counts[n] // 2} if counts[n] else ():
-            least, most, (low, high) = start[n]
-            targets.append(_Target(n, rank, least, most, low, high))
+    for n, rank in wanted:
+        least, most, (low, high) = start[n]
+        targets.append(_Target(n, rank, least, most, low, high))
 
     found: dict[str, list[float]] = {n: [] for n in names}
     while targets:

@@ -119,6 +119,59 @@ def test_whole_long_values_and_empty_tables(spark):
     assert secret_scan.fit(rows) is None  # one class
 
 
+def labelled(spark, n, wide):
+    """`n` findings of each class; the values of secrets hold fewer digits the higher their hash, where `wide`."""
+    rng, rows = random.Random(9), []
+    for k in range(n):
+        digits = rng.choice([4, 9, 14]) if wide else 12
+        rows.append(("is " + rng.choice("abc"), "".join(rng.sample("0123456789" * 2, digits) + rng.sample("abcdef" * 3, 18 - digits)), " then", 1))
+        rows.append(("at ", "".join(rng.choice("etaoinshr") for _ in range(rng.randint(9, 20))) + str(k), " on", 0))
+    return spark.createDataFrame(rows, "before string, value string, after string, secret int").distinct()
+
+
+def test_one_block_learns_what_one_task_learns(spark):
+    import numpy as np
+
+    rows = labelled(spark, 400, True)
+    whole = secret_scan.train(rows).model
+    table = rows.sort("before", "value", "after", "secret").toArrow()
+    plain = secret_scan.fit(table)
+    for a, b in ((whole.letters, plain.letters), (whole.filters, plain.filters), (whole.out, plain.out)):
+        assert np.allclose(a, b, rtol=0.01, atol=0.001)  # threads add up in another order
+    assert np.allclose([whole.scale, whole.shift, *whole.thresholds, *whole.heldout], [plain.scale, plain.shift, *plain.thresholds, *plain.heldout], rtol=0.01)
+
+
+def test_all_findings_teach_and_set_thresholds(spark, monkeypatch):
+    """Many blocks of more findings than one sample held (3000 a class): the threshold is exact over all that are held out."""
+    import zlib
+
+    monkeypatch.setattr(secret_scan, "BLOCK", 1000)
+    monkeypatch.setattr(secret_scan, "EPOCHS", 4)
+    taught, learn = [], secret_scan._learn_blocks
+    monkeypatch.setattr(secret_scan, "_learn_blocks", lambda rows, counts: taught.append((rows.count(), counts)) or learn(rows, counts))
+    rows = labelled(spark, 4500, True)
+    net = secret_scan.train(rows).model
+    found = rows.collect()
+    apart = [zlib.crc32(r.value.encode()) % 10 >= 7 for r in found]
+    assert taught == [(apart.count(False), {y: sum(r.secret == y and not a for r, a in zip(found, apart)) for y in (0, 1)})]
+    held = [r for r, a in zip(found, apart) if a and r.secret]
+    scores = net.scores([r[:3] for r in held])
+    for k in {secret_scan.shape(r.value) for r in held}:
+        own = [s for s, r in zip(scores, held) if secret_scan.shape(r.value) == k]
+        if len(own) >= secret_scan.LEAST_SHAPE:
+            assert net.thresholds[k] == pytest.approx(secret_scan._highest(__import__("numpy").array(own), secret_scan.RECALL), rel=1e-4)
+    assert net.heldout[0] >= 0.985 and net.heldout[1] >= 0.95
+
+
+def test_a_rare_class_is_in_every_block(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "BLOCK", 300)
+    monkeypatch.setattr(secret_scan, "EPOCHS", 3)
+    rows = labelled(spark, 1000, False)
+    rare = rows.where("secret = 0").unionByName(rows.where("secret = 1 AND crc32(CAST(value AS BINARY)) % 37 = 0"))
+    net = secret_scan.train(rare).model
+    assert net.heldout[0] >= 0.95 and net.heldout[1] >= 0.95
+
+
 @pytest.mark.parametrize("n", [0, 1, 40])
 def test_findings_label_what_the_patterns_mark(spark, n):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts(n))], "doc_id long, text string")
