@@ -74,6 +74,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows of a bucket that is worth a task of its own.
+BUCKET_ROWS = 200_000
+
+
+def materialize_buckets(df: DataFrame, columns: list[str]) -> DataFrame:
+    """`materialize`, with rows dealt to files by `columns` and sorted by them inside each file.
+
+    Joins on all of `columns` read the files as they are, however often: only the other side is shuffled and sorted. For that,
+    the session takes one file's rows in their written order. The name in the catalog, which Spark asks for, goes at once; the files stay.
+    """
+    spark = df.sparkSession
+    name = f"colforge_{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    rows = materialize(df)
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // BUCKET_ROWS + 1)
+    path = f"{shared_dir(spark)}/colforge/{uuid.uuid4().hex}"
+    rows.repartition(buckets, *columns).write.bucketBy(buckets, *columns).sortBy(*columns).option("path", path).format("parquet").saveAsTable(name)
+    kept = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return kept
+
+
 BROADCAST_BYTES = 64 << 20
 
 

@@ -299,3 +299,26 @@ def test_recursion_reaches_every_order(spark, tmp_path):
     spark.createDataFrame(rows, "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = QUERIES["sql_recursive_all"][0](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted((c, o, o // 10 + 1 if c == 7 else 1) for c, o in rows)
+
+
+def test_a_round_of_the_recursion_shuffles_no_links(spark, tmp_path, monkeypatch):
+    """The links are read in the buckets of the join, in several files, and nothing stays in the catalog."""
+    from colforge import session
+    from colforge.queries import QUERIES
+
+    monkeypatch.setattr(session, "BUCKET_ROWS", 40, raising=False)
+    rows = [(c, 1000 * c + 7 * k) for c in range(60) for k in range(c % 9 + 1)] + [(None, 5), (99, None)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = spark.catalog.listTables()
+        got = QUERIES["sql_recursive_all"][0](spark, str(tmp_path))
+        assert sorted(map(str, got.collect())) == sorted(str(r) for r in spark.createDataFrame([(c, o, o % 1000 // 7 + 1 if c not in (None, 99) else 1) for c, o in rows], got.schema).collect())
+        links = spark.table("recursive_links")
+        reached = spark.createDataFrame(rows, "c long, o long")
+        plan = links.join(reached, (F.col("o_custkey") == F.col("c")) & (F.col("before") == F.col("o")))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and links.inputFiles()[1:]
+        assert {t.name for t in spark.catalog.listTables()} - {t.name for t in before} <= {"recursive_links"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
